@@ -13,6 +13,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from longweave.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from longweave.llm.toxicity import scored
 
@@ -55,12 +61,18 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("n_shingles")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from longweave.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     own = globals()
     return {k: own[k] for k in sorted((k for k in own if k.startswith("op")), key=lambda k: int(k[2:].split("_")[0]))}
 
 
 def oracle_sql() -> dict[str, str]:
-    from longweave.llm import line_dedup, sharding
+    from longweave.llm import embeddings, line_dedup, sharding
 
-    return {"op3_line_dedup": line_dedup.SQL, "op5_sharding": sharding.SQL}
+    return {"op1_embedding_near_dedup": embeddings.SQL, "op3_line_dedup": line_dedup.SQL, "op5_sharding": sharding.SQL}

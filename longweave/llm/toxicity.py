@@ -3,14 +3,14 @@
 The kernel compares two strings by the subsequences of three characters that they share, each weighed
 down by the gaps it spans, so an insult with letters left out or characters put in between stays close
 to the insult. A sentence's strings are its words and runs of single letters; the sentence scores as its
-worst string and the document as its worst sentence. Labels belong to documents, so training chooses
-in toxic documents the strings that bear the label and takes all strings of clean documents as clean.
+worst string and the document as its worst sentence. Labels belong to documents and so to their
+sentences, copies left out: training takes as bearers of the label the strings that are in more toxic
+sentences than chance explains and in hardly any clean one, and all strings of clean ones as clean.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longweave.llm.bpe import Generations
-from longweave.llm.common import held_out, small_batches
+from longweave.llm.common import held_out, small_batches, words_of
+from longweave.llm.simhash import hashed, shingles
 from longweave.session import drop_saved, saved
 
 #: Labelled documents that are learned from, about so many of either label, by a hash of their id.
 TOXIC_DOCS, CLEAN_DOCS = 4000, 12_000
-#: Strings that training takes: bearers of the label, others of toxic documents, clean ones.
-BEARERS, DOUBTFUL, CLEAN = 4000, 20_000, 24_000
-LANDMARKS = 192
+#: Strings that training takes: bearers of the label, and clean ones.
+BEARERS, CLEAN = 4000, 120_000
+#: Clean strings that a machine is fitted on at once: the commonest, and those it errs on most.
+FITTED = 12_000
+LANDMARKS, RIDGE, POWER = 320, 1e-4, 0.5
 #: A subsequence's span in characters, and its loss of weight for each character of a gap.
 SPAN, DECAY = 6, 0.6
 #: Strings longer than this are met in windows, half overlapping.
@@ -35,21 +38,21 @@ THRESHOLD = 0.3
 #: Characters of strings whose score a worker keeps, in each of two generations.
 CACHE = 4_000_000
 
-_SYMBOLS = 32
-_FEATURES = _SYMBOLS**3
+_SYMBOLS, _FEATURES = 64, 1 << 16
 #: Digits and signs that stand for letters: fixed values.
 _STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _EDGE = re.compile(r"^[^\w@$]+|[\W_]+$")
+_SIGNS = re.compile(r"[\W_]+")
 _SINGLES = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
 
 
 def _symbol(c: str) -> int:
+    """a-z, and signs that stand for one: 2 to 27; other letters share 28 to 62; the rest is 63."""
     c = _STANDS_FOR.get(c, c)
-    c = (unicodedata.normalize("NFKD", c) or c)[0].lower()
     if "a" <= c <= "z":
         return 2 + ord(c) - 97
-    return 28 + ord(c) % 3 if c.isalpha() else 31
+    return 28 + ord(c) % 35 if c.isalpha() else 63
 
 
 class _Symbols(dict):
@@ -98,11 +101,11 @@ def features(units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     for n, ats in by.items():
         for lo in range(0, len(ats), 4096):
             at = ats[lo : lo + 4096]
-            x = np.zeros((len(at), n + 2), dtype=np.int32)
-            x[:, 1:-1] = np.array([list(map(get, units[a])) for a in at], dtype=np.int32)
+            x = np.zeros((len(at), n + 2), dtype=np.int64)
+            x[:, 1:-1] = np.array([list(map(get, units[a])) for a in at], dtype=np.int64)
             x[:, -1] = 1
             i, j, k, w = _triples(n + 2)
-            f = (x[:, i] * _SYMBOLS + x[:, j]) * _SYMBOLS + x[:, k]
+            f = (((x[:, i] * _SYMBOLS + x[:, j]) * _SYMBOLS + x[:, k]) * 40503 >> 4) & (_FEATURES - 1)
             order = np.argsort(f, axis=1)
             g, v = np.take_along_axis(f, order, 1), w[order]
             new = np.ones(g.shape, dtype=bool)
@@ -116,6 +119,8 @@ def features(units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 
 def kernel(units: list[str], landmarks: list[str]) -> np.ndarray:
     """The normalised kernel of each unit with each landmark."""
+    if len(landmarks) > 160:  # the dense landmarks take 256 KB each
+        return np.hstack([kernel(units, landmarks[:160]), kernel(units, landmarks[160:])])
     dense = np.zeros((_FEATURES, len(landmarks)), dtype=np.float32)
     for at, f, w in features(landmarks):
         np.add.at(dense, (f, at[:, None]), w)
@@ -126,7 +131,7 @@ def kernel(units: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """Weights (the last one is the bias) of a squared-hinge machine, by Newton steps in the primal."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, total = np.zeros(x.shape[1]), weight.sum()
@@ -171,8 +176,8 @@ class Scorer:
         units, owner, names = [], [], list(words)
         for k, w in enumerate(names):
             u = _EDGE.sub("", w)
-            if len(u) > 2:
-                for x in windows(u):
+            for v in {u, _SIGNS.sub("", u)}:  # with and without signs put in between
+                for x in windows(v) if len(v) > 2 else ():
                     units.append(x)
                     owner.append(k)
         worst = np.full(len(names), -3.0)
@@ -217,81 +222,123 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(lab), "doc_id")
 
 
+def copy_keys(text: str) -> list[int]:
+    """Three least hashes of a text's three-word shingles: near copies share most of them."""
+    w = words_of(text)
+    h = hashed(shingles(w, 3)) if w else np.zeros(1, np.uint64)
+    return [int((h * np.uint64(m)).min() >> np.uint64(1)) for m in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """One document (the least id) of those that share a key, so that copies don't count as evidence."""
+
+    def run(batches):
+        for batch in batches:
+            keys = np.array([copy_keys(t) for t in batch.column("text").to_pylist()], dtype=np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("text"), *map(pa.array, keys.T)], ["doc_id", "toxic", "text", "k0", "k1", "k2"])
+
+    ids = sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, text string, k0 long, k1 long, k2 long").drop("text")
+    for k in ("k0", "k1", "k2"):
+        ids = ids.groupBy(k).agg(F.min(F.struct("doc_id", "toxic", *[x for x in ("k0", "k1", "k2") if x != k])).alias("r")).select(k, "r.*")
+    return sample.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+
+
 def _unit_counts(sample: DataFrame) -> DataFrame:
-    """(unit, toxic, clean): in how many documents of either label a string occurs, sentence by sentence."""
+    """(unit, toxic, clean): in how many distinct sentences of either label a string occurs.
+
+    A sentence is clean if a clean document has it.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            parts, label = [], []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = {z for x in _SENTENCE.split(text.lower()) if (z := x.strip())}
+                parts += own
+                label += [toxic] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(label, pa.int32())], ["sentence", "toxic"])
 
     def run(batches):
         for batch in batches:
             units, label = [], []
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {x for s in _SENTENCE.split(text) for u in strings(s) for x in windows(u)}
+            for sentence, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = {x for u in strings(sentence) for x in windows(u)}
                 units += own
                 label += [toxic] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(label, pa.int32())], ["unit", "toxic"])
 
-    got = sample.select("text", "toxic").mapInArrow(run, "unit string, toxic int")
+    sentences = sample.select("text", "toxic").mapInArrow(cut, "sentence string, toxic int").groupBy("sentence").agg(F.min("toxic").alias("toxic"))
+    got = sentences.mapInArrow(run, "unit string, toxic int")
     return got.groupBy("unit").agg(F.sum("toxic").cast("long").alias("toxic"), F.sum(1 - F.col("toxic")).cast("long").alias("clean"))
 
 
 def _landmarks(bad: list[str], good: list[str]) -> list[str]:
-    """Half of either kind; each next one is the string that those before represent worst."""
+    """Half of either kind; each next one is the string that those before represent worst.
+
+    The first quarter are the clean strings that come first, so those that are hardest to tell.
+    """
     out: list[str] = []
-    for own in (bad[:2000], good[:2000]):
+    for own, first in ((bad[:800], 1), (good[:800], LANDMARKS // 4)):
         if not own:
             continue
-        chosen = [0]
-        near = kernel(own, [own[0]])[:, 0]
-        while len(chosen) < min(LANDMARKS // 2, len(own)):
-            at = int(near.argmin())
-            if near[at] > 0.98:
-                break
-            chosen.append(at)
-            near = np.maximum(near, kernel(own, [own[at]])[:, 0])
+        near = kernel(own, own)
+        chosen = list(range(min(first, len(own))))
+        best = near[:, chosen].max(axis=1)
+        while len(chosen) < min(LANDMARKS // 2, len(own)) and best.min() < 0.98:
+            chosen.append(int(best.argmin()))
+            best = np.maximum(best, near[:, chosen[-1]])
         out += [own[i] for i in chosen]
     return list(dict.fromkeys(out))
 
 
+def fitted(bearers: dict[str, int], clean: dict[str, int]) -> Model:
+    """A machine that has ``bearers`` on the toxic side and ``clean`` on the other.
+
+    Both come with the number of sentences that bear them out, commonest first; the more, the more an
+    example weighs. Each next machine is fitted on the clean strings that the last one finds most toxic
+    besides the commonest.
+    """
+    bad, good = list(bearers), list(clean)
+    hard = good[:FITTED]
+    for _ in range(4):
+        marks = _landmarks(bad, hard)
+        gram = kernel(marks, marks).astype(np.float64)
+        value, vector = np.linalg.eigh(gram)
+        ok = value > 1e-4 * value[-1]
+        whiten = vector[:, ok] / np.sqrt(value[ok])
+        x = kernel(bad + hard, marks) @ whiten
+        y = np.r_[np.ones(len(bad)), -np.ones(len(hard))]
+        weight = np.array([*map(bearers.__getitem__, bad), *map(clean.__getitem__, hard)], dtype=float) ** POWER
+        for side in (y > 0, y < 0):
+            weight[side] *= 0.5 * len(y) / weight[side].sum()
+        w = svm(x, y, weight)
+        beta, table = whiten @ w[:-1], np.zeros(_FEATURES, dtype=np.float64)
+        for at, f, v in features(marks):
+            np.add.at(table, f, v * beta[at][:, None])
+        model = Model(table.astype(np.float32), float(w[-1]))
+        worst = np.argsort(-model.margins(good), kind="stable")[: FITTED // 2]
+        hard = list(dict.fromkeys([good[i] for i in worst] + good[: FITTED // 2]))
+    return model
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
     """The model; without a toxic and a clean document to learn from, one that scores all texts alike."""
     sample = saved(_sampled(docs, labels), "labelled")
-    counts = saved(_unit_counts(sample), "units")
-    least = F.lit(3)
-    rows = lambda df, n: [r[0] for r in df.limit(n).collect()]
-    bad = rows(counts.where((F.col("toxic") >= least) & (F.col("clean") * 20 <= F.col("toxic"))).orderBy(F.desc("toxic"), "unit").select("unit"), BEARERS * 4)
-    strong = {r["unit"]: (r["toxic"], r["clean"]) for r in counts.where(F.col("unit").isin(bad[:BEARERS])).collect()} if bad else {}
-    doubtful = rows(counts.where("clean = 0 AND toxic >= 1").orderBy(F.desc("toxic"), F.xxhash64("unit"), "unit").select("unit"), DOUBTFUL)
-    clean = rows(counts.where("clean > 0 AND toxic <= 10 * clean").orderBy(F.desc("clean"), "unit").select("unit"), CLEAN // 3)
-    clean += rows(counts.where("clean > 0 AND toxic <= 10 * clean").orderBy(F.xxhash64("unit"), "unit").select("unit"), CLEAN - len(clean))
-    clean = list(dict.fromkeys(clean))
+    counts = saved(_unit_counts(without_copies(sample)), "units")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    both = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
+    few = counts.where((F.col("toxic") >= 3) & (F.col("clean") * 20 <= F.col("toxic"))).orderBy(F.desc("toxic"), "unit").limit(BEARERS).collect()
+    most = counts.where("clean > 0 AND toxic <= 10 * clean").orderBy(F.desc("clean"), "unit").limit(CLEAN).collect()
     drop_saved(counts)
-    if not n.get(0) or not n.get(1) or not bad or not clean:
+    if not n.get(0) or not n.get(1) or not few or not most:
         share = n.get(1, 0) / max(1, sum(n.values()))
         return Model(np.zeros(_FEATURES, dtype=np.float32), 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    # chance alone gives strings of one label too: keep bearers that it hardly explains
-    rate, tried = n[1] / (n[0] + n[1]), max(1, len(strong) + len(clean))
-    bearers = [u for u, (t, c) in sorted(strong.items(), key=lambda x: (-x[1][0], x[0])) if t * np.log(rate) + np.log(tried) < (-1.5 if c == 0 else -6.0)] or bad[:20]
-    hard = clean
-    for step in range(3):
-        marks = _landmarks(bearers, hard)
-        gram = kernel(marks, marks).astype(np.float64)
-        value, vector = np.linalg.eigh(gram)
-        ok = value > 1e-6 * value[-1]
-        whiten = vector[:, ok] / np.sqrt(value[ok])
-        units = bearers + clean
-        x = kernel(units, marks) @ whiten
-        y = np.r_[np.ones(len(bearers)), -np.ones(len(clean))]
-        weight = np.where(y > 0, 0.5 / len(bearers), 0.5 / len(clean)) * len(y)
-        w = svm(x, y, weight)
-        beta, bias = whiten @ w[:-1], float(w[-1])
-        table = np.zeros(_FEATURES, dtype=np.float64)
-        for at, f, v in features(marks):
-            np.add.at(table, f, v * beta[at][:, None])
-        model = Model(table.astype(np.float32), bias)
-        if step < 2:  # strings of toxic documents that are on the toxic side bear the label too
-            m = model.margins(doubtful)
-            bearers = list(dict.fromkeys(bearers + [u for u, k in zip(doubtful, m, strict=True) if k > 0.5]))[:BEARERS]
-            hard = [clean[i] for i in np.argsort(-model.margins(clean), kind="stable")]
+    clean = {r["unit"]: r["clean"] for r in most}
+    # chance alone gives strings of one label too: keep those that it hardly explains
+    rate, tried = np.log(both["t"] / (both["t"] + both["c"])), np.log(len(few) + len(clean))
+    sure = {r["unit"]: r["toxic"] for r in few if r["toxic"] * rate + tried < (-1.5 if r["clean"] == 0 else -6.0)}
+    bearers = sure or {r["unit"]: r["toxic"] for r in few[:20]}
+    model = fitted(bearers, clean)
 
     def worst(batches):
         scorer = Scorer(model)
