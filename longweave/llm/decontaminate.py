@@ -178,3 +178,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         found = texts.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the documents that hold an item; rows without a doc_id stay."""
+    hits = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("__lw_id")).distinct()
+    return docs.join(hits, F.col("doc_id").cast("long") == F.col("__lw_id"), "left_anti")

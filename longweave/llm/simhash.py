@@ -241,6 +241,19 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, radiu
     return out.select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
+    """``docs`` with the smallest doc_id of each group of :func:`similar_documents`.
+
+    Rows without words or without a doc_id stay. Rows that repeat a doc_id are one document: one stays.
+    """
+    groups = saved(similar_documents(docs, threshold, k), "groups")
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__lw_id")).distinct()
+    some = docs.join(kept, F.col("doc_id").cast("long") == F.col("__lw_id"), "left_semi")
+    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        some = some.dropDuplicates(["doc_id"])
+    return some.unionByName(docs.where("doc_id IS NULL"))
+
+
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """(node, grams): the sorted distinct hashes of a text's k-word shingles, as bytes."""
 

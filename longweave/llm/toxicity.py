@@ -383,3 +383,18 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows whose score is ``threshold`` or more; other rows stay as they are."""
+    small_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.value)
+        for batch in batches:
+            margins = scorer.worst(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([scorer.model.score(m) < threshold for m in margins], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
