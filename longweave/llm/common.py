@@ -83,15 +83,40 @@ def stripe_pairs(low: np.ndarray, high: np.ndarray, near) -> list[tuple[int, int
     return out
 
 
-def dealt_to_cells(stripes: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
-    """Each row of a stripe once for every cell (pair of stripes) that it takes part in.
+#: Ids up to which a list of them is broadcast, 8 bytes each and about as much again for the hash table.
+BROADCAST_IDS = 4_000_000
 
-    Adds ``cell`` and ``side`` (0: first stripe of the cell, 1: second, 2: both are the same). The
-    list of cells has at most half the square of the number of stripes, which the caller bounds.
+
+def beside(ids: DataFrame) -> DataFrame:
+    """``ids`` (saved, one long column) marked for a broadcast join if they are within BROADCAST_IDS.
+
+    What they are joined with then needs no shuffle; beyond the bound Spark joins by shuffle.
+    """
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def merged(counts: list[int], rows: int) -> list[list[int]]:
+    """Runs of neighbouring parts that have about ``rows`` rows together; one part if it has more."""
+    out: list[list[int]] = []
+    size = rows
+    for at, n in enumerate(counts):
+        if size + n > rows:
+            out.append([])
+            size = 0
+        out[-1].append(at)
+        size += n
+    return out
+
+
+def dealt_to_cells(parts: DataFrame, members: list[list[int]], pairs: list[tuple[int, int]]) -> DataFrame:
+    """Each row once for every cell (pair of stripes) that it takes part in; column ``part`` goes.
+
+    members: the parts of each stripe. Adds ``cell`` and ``side`` (0: first stripe of the cell, 1: second,
+    2: both are the same). The list of cells has at most half the square of the number of stripes, which
+    the caller bounds.
     """
-    spark = stripes.sparkSession
-    rows = [(s, k, 2) for k, (s, t) in enumerate(pairs) if s == t]
-    rows += [(x, k, side) for k, (s, t) in enumerate(pairs) if s != t for side, x in ((0, s), (1, t))]
-    cells = spark.createDataFrame(rows or [(-1, -1, 2)], "stripe int, cell long, side int")
-    cells = cells.groupBy("stripe").agg(F.collect_list(F.struct("cell", "side")).alias("c"))
-    return stripes.join(F.broadcast(cells), "stripe").withColumn("c", F.explode("c")).select("*", "c.cell", "c.side").drop("c", "stripe")
+    rows = [(x, k, 2) for k, (s, t) in enumerate(pairs) if s == t for x in members[s]]
+    rows += [(x, k, side) for k, (s, t) in enumerate(pairs) if s != t for side, y in ((0, s), (1, t)) for x in members[y]]
+    cells = parts.sparkSession.createDataFrame(rows or [(-1, -1, 2)], "part int, cell long, side int")
+    cells = cells.groupBy("part").agg(F.collect_list(F.struct("cell", "side")).alias("c"))
+    return parts.join(F.broadcast(cells), "part").withColumn("c", F.explode("c")).select("*", "c.cell", "c.side").drop("c", "part")

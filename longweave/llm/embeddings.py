@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longweave.llm.common import dealt_to_cells, forest, stripe_pairs
+from longweave.llm.common import dealt_to_cells, forest, merged, stripe_pairs
 from longweave.operators.components import connected_components
 from longweave.session import saved
 
@@ -97,10 +97,10 @@ def _classes(vectors: DataFrame) -> DataFrame:
 def _linked(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(a, b, n): forest edges (n null), and links of a that one cell found (b null)."""
     spark = nodes.sparkSession
-    own = nodes.where(F.size("embedding") == dim)
-    total = own.count()
+    sized = nodes.where(F.size("embedding") == dim)
+    total = sized.count()
     rows = int(np.clip(total // STRIPES, *STRIPE))
-    some = np.array([r[0] for r in own.select(F.transform("embedding", lambda x: x.cast("double"))).limit(AXIS_ROWS).collect()], dtype=np.float64)
+    some = np.array([r[0] for r in sized.select(F.transform("embedding", lambda x: x.cast("double"))).limit(AXIS_ROWS).collect()], dtype=np.float64)
     some /= np.abs(some).max(axis=1, keepdims=True)
     some /= np.linalg.norm(some, axis=1, keepdims=True)
     axis = np.linalg.svd(some - some.mean(axis=0), full_matrices=False)[2][0]
@@ -121,11 +121,12 @@ def _linked(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor), pa.array(x @ axis)], ["node", "mult", "embedding", "code", "factor", "along"])
 
     kind = dict(nodes.dtypes)["embedding"]
-    codes = own.select("node", "mult", "embedding").mapInArrow(coded, f"node long, mult long, embedding {kind}, code binary, factor double, along double")
-    spread = saved(codes.repartitionByRange(max(1, -(-total // rows)), "along", "node").withColumn("stripe", F.spark_partition_id()), "codes")
-    box = spread.groupBy("stripe").agg(F.min("along").alias("lo"), F.max("along").alias("hi")).orderBy("stripe").collect()
-    low, high = np.array([r["lo"] for r in box]), np.array([r["hi"] for r in box])
-    pairs = [(box[s]["stripe"], box[t]["stripe"]) for s, t in stripe_pairs(low, high, lambda lo, hi, los, his: (los <= hi + reach) & (lo <= his + reach))]
+    codes = sized.select("node", "mult", "embedding").mapInArrow(coded, f"node long, mult long, embedding {kind}, code binary, factor double, along double")
+    spread = saved(codes.repartitionByRange(max(1, -(-total // rows)), "along", "node").withColumn("part", F.spark_partition_id()), "codes")
+    box = spread.groupBy("part").agg(F.count("*").alias("n"), F.min("along").alias("lo"), F.max("along").alias("hi")).orderBy("part").collect()
+    own = merged([r["n"] for r in box], rows)
+    low, high = np.array([min(box[p]["lo"] for p in s) for s in own]), np.array([max(box[p]["hi"] for p in s) for s in own])
+    pairs = stripe_pairs(low, high, lambda lo, hi, los, his: (los <= hi + reach) & (lo <= his + reach))
 
     def compare(key, t):
         side = t.column("side").to_numpy()
@@ -135,7 +136,7 @@ def _linked(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
         at = np.nonzero(links)[0]
         return pa.table({"a": pa.array(np.r_[a, node[at]], pa.int64()), "b": pa.array([*b.tolist(), *[None] * len(at)], pa.int64()), "n": pa.array([*[None] * len(a), *links[at].tolist()], pa.int64())})
 
-    cells = dealt_to_cells(spread.drop("along"), pairs)
+    cells = dealt_to_cells(spread.drop("along"), [[box[p]["part"] for p in s] for s in own], pairs)
     n = max(2 * spark.sparkContext.defaultParallelism, min(len(pairs), 4096))
     return cells.repartition(n, "cell").groupBy("cell").applyInArrow(compare, "a long, b long, n long")
 
