@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longweave.llm.common import as_bytes, dealt_to_cells, forest, small_batches, stripe_pairs, words_of
+from longweave.llm.common import as_bytes, beside, dealt_to_cells, forest, merged, small_batches, stripe_pairs, words_of
 from longweave.operators.components import connected_components
 from longweave.session import saved
 
@@ -91,7 +91,7 @@ def _counts(fp: np.ndarray) -> np.ndarray:
 
 
 def _striped(nodes: DataFrame, words: int, by_size: bool) -> tuple[DataFrame, int]:
-    """Nodes in stripes: ranges of size, or of bit counts. One row holds up to TILE nodes."""
+    """Nodes in ranges of size or of bit counts, and the rows a stripe should have. One row holds up to TILE nodes."""
     total = nodes.count()
     rows = int(np.clip(total // STRIPES, *STRIPE))
     n = max(1, -(-total // rows))
@@ -110,16 +110,16 @@ def _striped(nodes: DataFrame, words: int, by_size: bool) -> tuple[DataFrame, in
         c = _counts(fp)
         keys = [node, *c.T[::-1]] + ([size] if by_size else [c[:, 4:].sum(axis=1), c[:, :4].sum(axis=1)])
         order = np.lexsort(keys)
-        stripe, out = TaskContext.get().partitionId(), []
+        part, out = TaskContext.get().partitionId(), []
         for i in range(0, len(order), TILE):
             at = order[i : i + TILE]
-            out.append((stripe, node[at].tobytes(), fp[at].tobytes(), size[at].astype(np.int64).tobytes(), c[at].min(axis=0).tolist(), c[at].max(axis=0).tolist(), int(size[at].min()), int(size[at].max())))
-        names = ["stripe", "node", "fp", "size", "low", "high", "least", "most"]
+            out.append((part, node[at].tobytes(), fp[at].tobytes(), size[at].astype(np.int64).tobytes(), c[at].min(axis=0).tolist(), c[at].max(axis=0).tolist(), int(size[at].min()), int(size[at].max())))
+        names = ["part", "node", "fp", "size", "low", "high", "least", "most"]
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     spread = nodes.repartitionByRange(n, *first, F.col("node"))
-    return spread.mapInArrow(cut, "stripe int, node binary, fp binary, size binary, low array<int>, high array<int>, least long, most long"), n
+    return spread.mapInArrow(cut, "part int, node binary, fp binary, size binary, low array<int>, high array<int>, least long, most long"), rows
 
 
 def _cell(tiles: list[tuple], radius: int, words: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,18 +178,18 @@ def tiled_links(nodes: DataFrame, radius: int, words: int = 1, ratio: float = 0.
     With ``ratio``, only pairs whose sizes have at least that ratio link, and stripes are ranges of
     size so that most pairs of stripes are never met.
     """
-    stripes, _ = _striped(nodes, words, bool(ratio))
+    stripes, rows = _striped(nodes, words, bool(ratio))
     stripes = saved(stripes, "stripes")
-    box = stripes.groupBy("stripe").agg(F.min("least").alias("least"), F.max("most").alias("most"), *[F.min(F.col("low")[i]).alias(f"l{i}") for i in range(8)], *[F.max(F.col("high")[i]).alias(f"h{i}") for i in range(8)]).orderBy("stripe").collect()
-    ids = [r["stripe"] for r in box]
-    low = np.array([[r["least"]] + [r[f"l{i}"] for i in range(8)] for r in box]).reshape(len(box), 9)
-    high = np.array([[r["most"]] + [r[f"h{i}"] for i in range(8)] for r in box]).reshape(len(box), 9)
+    box = stripes.groupBy("part").agg(F.sum(F.octet_length("node") / 8).alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), *[F.min(F.col("low")[i]).alias(f"l{i}") for i in range(8)], *[F.max(F.col("high")[i]).alias(f"h{i}") for i in range(8)]).orderBy("part").collect()
+    own = merged([int(r["n"]) for r in box], rows)
+    low = np.array([np.min([[box[p]["least"]] + [box[p][f"l{i}"] for i in range(8)] for p in s], axis=0) for s in own]).reshape(len(own), 9)
+    high = np.array([np.max([[box[p]["most"]] + [box[p][f"h{i}"] for i in range(8)] for p in s], axis=0) for s in own]).reshape(len(own), 9)
 
     def near(lo, hi, los, his):
         ok = np.maximum(0, np.maximum(los[:, 1:] - hi[1:], lo[1:] - his[:, 1:])).sum(axis=1) <= radius
         return ok & (his[:, 0] >= ratio * lo[0] - 1e-9) & (hi[0] >= ratio * los[:, 0] - 1e-9) if ratio else ok
 
-    pairs = [(ids[s], ids[t]) for s, t in stripe_pairs(low, high, near)]
+    pairs = stripe_pairs(low, high, near)
 
     def compare(key, batch):
         c = {n: batch.column(n).to_pylist() for n in batch.column_names}
@@ -197,7 +197,7 @@ def tiled_links(nodes: DataFrame, radius: int, words: int = 1, ratio: float = 0.
         a, b, d = _cell(tiles, radius, words, ratio)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "d": pa.array(d, pa.int64())})
 
-    cells = dealt_to_cells(stripes, pairs)
+    cells = dealt_to_cells(stripes, [[box[p]["part"] for p in s] for s in own], pairs)
     n = max(2 * stripes.sparkSession.sparkContext.defaultParallelism, min(len(pairs), 4096))
     return cells.repartition(n, "cell").groupBy("cell").applyInArrow(compare, "a long, b long, d long")
 
@@ -247,11 +247,11 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFram
     Rows without words or without a doc_id stay. Rows that repeat a doc_id are one document: one stays.
     """
     groups = saved(similar_documents(docs, threshold, k), "groups")
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__lw_id")).distinct()
-    some = docs.join(kept, F.col("doc_id").cast("long") == F.col("__lw_id"), "left_semi")
-    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        some = some.dropDuplicates(["doc_id"])
-    return some.unionByName(docs.where("doc_id IS NULL"))
+    gone = saved(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__lw_id")).distinct(), "gone")
+    some = docs.join(beside(gone), F.col("doc_id").cast("long") == F.col("__lw_id"), "left_anti")
+    if not groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return some
+    return some.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(some.where("doc_id IS NULL"))
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -269,7 +269,7 @@ def verified(docs: DataFrame, links: DataFrame, threshold: float, k: int) -> Dat
     """The links whose texts have Jaccard similarity of ``threshold`` or more over sets of k-word shingles."""
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    wanted = texts.join(ends, "node", "left_semi")
+    wanted = texts.join(beside(saved(ends, "ends")), "node", "left_semi")
     sets = saved(shingle_sets(wanted, k).dropDuplicates(["node"]), "sets")
     both = links.join(sets.withColumnsRenamed({"node": "a", "grams": "ga"}), "a").join(sets.withColumnsRenamed({"node": "b", "grams": "gb"}), "b").select("a", "b", "ga", "gb")
 
