@@ -148,6 +148,15 @@ class Index:
                         best[items[b]] = (sim, first + a, n)
 
 
+def _indexes(benchmark: DataFrame):
+    """Broadcast indexes of up to INDEX_ITEMS items or so, one after the other."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    blocks = max(1, -(-items.count() // INDEX_ITEMS))
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r["item_id"], bytes(r["text"])) for r in own.collect()]))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, similarity, start, n_words): each item that a row's text holds, with its best window.
 
@@ -157,16 +166,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     each. Null and empty texts hold nothing. Repeated rows give repeated hits; a null doc_id stays null;
     rows of ``benchmark`` without an id are left out; other columns are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    blocks = max(1, -(-items.count() // INDEX_ITEMS))
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, similarity double, start long, n_words long"
     out = None
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], bytes(r["text"])) for r in own.collect()]))
+    for index in _indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -181,6 +185,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows without a doc_id stay."""
-    hits = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("__lw_id")).distinct()
-    return docs.join(hits, F.col("doc_id").cast("long") == F.col("__lw_id"), "left_anti")
+    """``docs`` without the rows whose text holds an item; others stay as they are, without a shuffle."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+    for index in _indexes(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not index.value.hits(t, threshold) for t in as_bytes(batch.column(at))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
