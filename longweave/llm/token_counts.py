@@ -82,18 +82,25 @@ class Counts:
 
 
 def frequent_lengths(docs: DataFrame, tokenizer: str) -> dict[str, int]:
-    """The table: the most frequent pre-tokens of up to TABLE_ROWS rows, with their tokens."""
+    """The table: the most frequent pre-tokens of the first TABLE_ROWS rows of a partition, with their tokens.
+
+    Taking rows from as few partitions as are needed, mostly one, costs no shuffle and no further scan.
+    """
 
     def count(batches):
-        pre = regex.compile(PATTERN)
+        pre, left, got = regex.compile(PATTERN), TABLE_ROWS, Counter()
         for batch in batches:
-            got = Counter(p for t in batch.column(0).to_pylist() if t for p in pre.findall(t)).most_common(TABLE_ENTRIES)
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], ["pre", "n"])
-
-    some = docs.select(F.col("text").cast("string").alias("text")).limit(TABLE_ROWS).mapInArrow(count, "pre string, n long")
-    top = some.groupBy("pre").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pre").limit(TABLE_ENTRIES).select("pre").collect()
+            texts = batch.column(0).to_pylist()[:left]
+            left -= len(texts)
+            got.update(p for t in texts if t for p in pre.findall(t))
+            if left == 0:
+                break
+        most = got.most_common(TABLE_ENTRIES)
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in most], pa.string()), pa.array([n for _, n in most], pa.int64())], ["pre", "n"])
+
+    top = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "pre string, n long").take(TABLE_ENTRIES)
     tok, _ = _loaded(tokenizer)
-    pres = [r["pre"] for r in top]
+    pres = list(dict.fromkeys(r["pre"] for r in top))
     return {p: len(e.ids) for p, e in zip(pres, tok.encode_batch_fast(pres, add_special_tokens=False), strict=True)} if pres else {}
 
 
