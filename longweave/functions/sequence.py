@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OPS = "array<struct<op:string,len:int>>"
@@ -31,19 +31,11 @@ def canonical(kmer: Column) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All k-mers in order; none of a sequence shorter than k."""
+    """All k-mers in order; none of a sequence shorter than k. For short sequences: the work grows with the square."""
     n = F.length(seq) - F.lit(k - 1)
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(seq, i, F.lit(k)))).when(seq.isNotNull(), F.array().cast("array<string>"))
 
 
-def kmer_entropies(reads: DataFrame, k: int) -> DataFrame:
-    """(read_id, entropy): entropy in nats of a read's k-mer frequencies; 0 for a sequence shorter than k."""
-    n = reads.select("read_id", F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy("read_id", "kmer").agg(F.count("*").alias("n"))
-    total = n.groupBy("read_id").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    e = total.select("read_id", (F.log("all") - F.col("s") / F.col("all")).alias("entropy"))
-    return reads.select("read_id").join(e, "read_id", "left").select("read_id", F.coalesce("entropy", F.lit(0.0)).alias("entropy"))
-
-
 def homopolymer_lengths(seq: Column) -> Column:
     """For each position the length of the run of one base around it."""
     runs = F.regexp_extract_all(seq, F.lit(r"((.)\2*)"), F.lit(1))

@@ -35,6 +35,18 @@ def codes(seq: str | None, k: int) -> np.ndarray:
     return np.minimum(forward, back)
 
 
+def kmer_rows(df: DataFrame, k: int, key: str = "read_id") -> DataFrame:
+    """(key, at, kmer): all k-mers of ``seq`` as text, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = max(0, len(s or "") - k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array([s[j : j + k] for j in range(n)], pa.string())], [key, "at", "kmer"])
+
+    return df.select(key, "seq").mapInArrow(run, f"{key} long, at int, kmer string")
+
+
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
     """(kmer long, n): how often each canonical k-mer occurs in all reads."""
 
@@ -145,3 +157,11 @@ def recovered_mask(reads: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64))], ["kmer"])
 
     return reads.select("seq").mapInArrow(run, "kmer long").distinct()
+
+
+def kmer_entropies(reads: DataFrame, k: int) -> DataFrame:
+    """(read_id, entropy): entropy in nats of a read's k-mer frequencies; 0 for a sequence shorter than k."""
+    n = kmer_rows(reads, k).groupBy("read_id", "kmer").agg(F.count("*").alias("n"))
+    total = n.groupBy("read_id").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    e = total.select("read_id", (F.log("all") - F.col("s") / F.col("all")).alias("entropy"))
+    return reads.select("read_id").join(e, "read_id", "left").select("read_id", F.coalesce("entropy", F.lit(0.0)).alias("entropy"))

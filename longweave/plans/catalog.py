@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("scalar_queries", "aggregate_queries", "order_queries", "join_queries", "graph_queries")
+MODULES = ("scalar_queries", "aggregate_queries", "order_queries", "join_queries", "graph_queries", "kernel_queries", "source_queries")
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}

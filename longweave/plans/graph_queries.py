@@ -13,7 +13,7 @@ _ADJ = f"SELECT chunk * 1000000 + cluster AS a, NOT is_forward AS a_head, lead(c
 _BOTH = "SELECT a, a_head, b, b_head, off FROM x WHERE b IS NOT NULL UNION ALL SELECT b, b_head, a, a_head, off FROM x WHERE b IS NOT NULL AND NOT (a = b AND a_head = b_head)"
 _WITH = f"WITH RECURSIVE x AS MATERIALIZED ({_ADJ}), e AS MATERIALIZED (SELECT a, a_head, b, b_head, count(*) AS occ, CAST(sum(off) AS BIGINT) AS offsets FROM ({_BOTH}) GROUP BY ALL), g AS MATERIALIZED (SELECT chunk * 1000000 + cluster AS node, count(*) AS occ FROM ({_COARSE}) GROUP BY ALL)"
 #: Edges above this are kept where a sparse graph is wanted.
-_SPARSE = 4
+_SPARSE = 7
 
 
 def parts(spark, sf):

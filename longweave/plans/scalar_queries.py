@@ -39,7 +39,7 @@ def _(spark, sf):
 
 @query("sc1_canonical_kmers", f"SELECT kmer, count(*) AS n FROM (SELECT least(m, {REV.format('m')}) AS kmer FROM (SELECT unnest(list_transform(range(1, length(seq) - 2), lambda i: substr(seq, i, 4))) AS m FROM ({V.READS_SQL}))) GROUP BY kmer")
 def _(spark, sf):
-    return V.reads(spark, sf).select(F.explode(S.kmers(F.col("seq"), 4)).alias("m")).groupBy(S.canonical(F.col("m")).alias("kmer")).agg(F.count("*").alias("n"))
+    return masking.kmer_rows(V.reads(spark, sf), 4).groupBy(S.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
 
 
 @query("sc2_reverse_complement", f"SELECT read_id, md5({REV.format('seq')}) AS rev FROM ({V.READS_SQL})")
@@ -71,7 +71,7 @@ def _(spark, sf):
 f AS (SELECT read_id, n / sum(n) OVER (PARTITION BY read_id) AS f FROM k), e AS (SELECT read_id, -sum(f * ln(f)) AS e FROM f GROUP BY read_id)
 SELECT read_id, round(coalesce(e, 0), 6) + 0 AS entropy FROM ({V.READS_SQL}) LEFT JOIN e USING (read_id)""")
 def _(spark, sf):
-    return S.kmer_entropies(V.reads(spark, sf), 3).select("read_id", (F.round("entropy", 6) + 0).alias("entropy"))
+    return masking.kmer_entropies(V.reads(spark, sf), 3).select("read_id", (F.round("entropy", 6) + 0).alias("entropy"))
 
 
 @query("sc8_cigar_ops", f"SELECT op, count(*) AS n, CAST(sum(len) AS BIGINT) AS bases FROM (SELECT unnest(regexp_extract_all(cigar, '[0-9]+([MDI])', 1)) AS op, CAST(unnest(regexp_extract_all(cigar, '([0-9]+)[MDI]', 1)) AS BIGINT) AS len FROM ({V.CIGARS_SQL})) GROUP BY op")

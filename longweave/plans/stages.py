@@ -16,3 +16,90 @@ def extracted(reads: DataFrame, units: DataFrame) -> DataFrame:
     """(kind, id, length, copies): READ and UNIT rows of a data set."""
     r = reads.select(F.lit("READ").alias("kind"), F.col("read_id").alias("id"), F.length("seq").cast("long").alias("length"), F.lit(None).cast("long").alias("copies"))
     return r.unionByName(units.select(F.lit("UNIT").alias("kind"), F.col("chunk").alias("id"), "length", "copies"))
+
+
+def select_chunks(reads: DataFrame, chunk_len: int, take: int, margin: int = 0, k: int = 12, exclude: float = 0.8, seed: int = 42) -> DataFrame:
+    """(chunk, seq): windows of reads, drawn by how little they repeat; those over ``exclude`` repetitive stay out."""
+    from longweave.operators import masking, ordered, sampling
+    from longweave.session import saved
+
+    windows = ordered.fixed_windows(reads.select("read_id", "seq"), F.length("seq"), chunk_len, margin)
+    own = saved(windows.select(F.xxhash64("read_id", "start").alias("read_id"), F.substring("seq", F.col("start").cast("int") + 1, F.lit(chunk_len)).alias("seq")), "windows")
+    rep = masking.repetitiveness(own, masking.mask(reads, k), k).where(F.col("repetitiveness") <= exclude)
+    drawn = sampling.weighted_sample(rep.withColumn("weight", 1 - F.col("repetitiveness")), "read_id", "weight", take, seed)
+    named = own.join(drawn.select("read_id"), "read_id", "left_semi").groupBy("read_id").agg(F.first("seq").alias("seq"))
+    from pyspark.sql import Window
+
+    return named.select((F.row_number().over(Window.orderBy("read_id")) - 1).cast("long").alias("chunk"), "seq")  # ``take`` rows
+
+
+def without_overlapping(chunks: DataFrame, sim_thr: float, k: int = 15) -> DataFrame:
+    """Chunks of which none maps onto another: a greedy cover of the pairs goes."""
+    from longweave.operators.align import seed_candidates
+    from longweave.operators.graph import vertex_cover
+
+    own = chunks.select(F.col("chunk").alias("id"), "seq")
+    half = F.length("seq") / 2
+    pairs = seed_candidates(own, own, k, least=5).where("query < target").join(own.select(F.col("id").alias("query"), half.alias("half")), "query")
+    close = pairs.where((F.abs("shift") < F.col("half")) & (F.col("seeds") > F.col("half") * (1 - sim_thr) * 0.2))
+    gone = vertex_cover([(r["query"], r["target"]) for r in close.collect()])
+    return chunks.where(~F.col("chunk").isin(gone)) if gone else chunks
+
+
+def encode(reads: DataFrame, chunks: DataFrame, sim_thr: float, k: int = 15) -> DataFrame:
+    """Nodes: chunks found in reads, one of overlapping ones of a chunk, dense idx in each read."""
+    from longweave.operators import align, rewrite
+
+    n = align.mapped(reads.select("read_id", "seq"), chunks, sim_thr, k)
+    n = n.withColumn("len", F.col("end") - F.col("pos")).withColumn("score", -F.length("cigar"))
+    n = n.withColumn("node_id", F.xxhash64("read_id", "chunk", "pos", "is_forward")).withColumn("idx", F.col("pos").cast("int")).withColumn("cluster", F.lit(0).cast("long"))
+    return rewrite.reindexed(rewrite.without_slippy(n))
+
+
+def node_sequences(nodes: DataFrame, reads: DataFrame) -> DataFrame:
+    """Nodes with what they span of their read, in the chunk's direction."""
+    from longweave.functions.sequence import reverse_complement
+
+    part = F.substring("__read", F.col("pos").cast("int") + 1, F.col("len").cast("int"))
+    j = nodes.join(reads.select("read_id", F.col("seq").alias("__read")), "read_id")
+    return j.withColumn("seq", F.when(F.col("is_forward"), part).otherwise(reverse_complement(part))).drop("__read")
+
+
+def cluster_locally(nodes: DataFrame, chunks: DataFrame, coverage: float, most: int = 2) -> DataFrame:
+    """Nodes (with seq) with the cluster that their chunk's pileup falls into; seeded by chunk."""
+    import pyarrow as pa
+
+    from longweave.operators import likelihood
+    from longweave.operators.align import edit_align
+
+    piles = nodes.select("chunk", "node_id", "seq").join(chunks.select("chunk", F.col("seq").alias("template")), "chunk")
+
+    def run(key, t):
+        rows = sorted(t.to_pylist(), key=lambda r: (edit_align(r["seq"], r["template"])[1], r["node_id"]))
+        labels, _ = likelihood.phased([r["seq"] for r in rows], rows[0]["template"], coverage, most, seed=key[0].as_py())
+        return pa.table({"node_id": pa.array([r["node_id"] for r in rows], pa.int64()), "new": pa.array(labels.tolist(), pa.int64())})
+
+    new = piles.groupBy("chunk").applyInArrow(run, "node_id long, new long")
+    return nodes.join(new, "node_id").withColumn("cluster", F.col("new")).drop("new")
+
+
+def assemble(nodes: DataFrame, chunks: DataFrame, least_edge: int = 1):
+    """(contigs, links, tiles) of the graph of encoded nodes, spelled from the chunks' sequences."""
+    from longweave.operators import graph
+    from longweave.operators.assembly import ChunkGraph
+
+    g_nodes, _ = graph.build(nodes)
+    reps = graph.representative(nodes).where(F.col("occ") > least_edge)
+    seqs = {r["chunk"]: r["seq"] for r in chunks.select("chunk", "seq").collect()}
+    own = [(r["node"], r["occ"], 1, seqs[r["node"] // graph.WIDE]) for r in g_nodes.collect()]
+    g = ChunkGraph(own, [(r["a"], r["a_head"], r["b"], r["b_head"], r["occ"], r["offset"]) for r in reps.collect()])
+    g.check()
+    g.zip_forks()
+    return g.spell()
+
+
+def polished(parts: DataFrame, least: int = 2, most: int = 50) -> DataFrame:
+    """(contig, window, seq, n): consensus of each window of contigs; parts: (contig, window, seq)."""
+    from longweave.operators.align import grouped_consensus
+
+    return grouped_consensus(parts.select("contig", "window", "seq"), ["contig", "window"], least, most)

@@ -25,7 +25,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
     A file is one unit, as lines tell their kind by their number only: split large runs into files.
     """
-    files = spark.read.option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True)
     lines = F.split(F.regexp_replace("value", r"\n+$", ""), "\n")
     records = F.transform(F.sequence(F.lit(0), F.floor(F.size(lines) / 4).cast("int") - 1), lambda i: F.struct(F.substring(F.get(lines, i * 4), 2, 1 << 30).alias("head"), F.get(lines, i * 4 + 1).alias("seq")))
     r = files.where("value <> ''").select(F.explode(records).alias("r"))
