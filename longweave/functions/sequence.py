@@ -101,7 +101,7 @@ def posterior(xs: Column) -> Column:
 def is_biased(xs: Column, threshold: float = 0.2) -> Column:
     """Whether a cluster stands out by ``threshold`` over an even share; always for one cluster or none."""
     n = F.size(xs)
-    return (n <= 1) | F.exists(xs, lambda x: F.exp(x) >= 1.0 / n + threshold)
+    return (n <= 1) | F.exists(xs, lambda x: F.exp(x) >= F.lit(1.0) / F.greatest(n, F.lit(1)) + threshold)
 
 
 def poisson_log(x: Column, rate: Column) -> Column:
