@@ -27,7 +27,7 @@ WINDOW = 16
 #: A cut every 2**CUT_BITS bytes on average.
 CUT_BITS = 9
 #: Characters of chunks, and of pieces, that a worker keeps in each of two generations.
-CHUNK_CACHE, PIECE_CACHE = 6_000_000, 3_000_000
+CHUNK_CACHE, PIECE_CACHE = 2_000_000, 1_000_000
 #: Bytes of the longest piece that is kept, and of the texts that are encoded at a time.
 LONGEST_KEPT, BATCH_BYTES = 200, 8_000_000
 

@@ -36,7 +36,7 @@ SPAN, DECAY = 6, 0.6
 LONGEST = 24
 THRESHOLD = 0.3
 #: Characters of strings whose score a worker keeps, in each of two generations.
-CACHE = 4_000_000
+CACHE = 1_200_000
 
 _SYMBOLS, _FEATURES = 64, 1 << 16
 #: Digits and signs that stand for letters: fixed values.
