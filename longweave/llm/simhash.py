@@ -25,6 +25,8 @@ TILE = 512
 STRIPE = (4096, 262_144)
 #: Stripes that a table of middling size is cut into.
 STRIPES = 24
+#: Bytes of shingle sets in a stripe that carries them, and in a part that stripes are merged from.
+STRIPE_BYTES, PART_BYTES = 24 << 20, 1 << 20
 
 
 def shingles(words: list[bytes], k: int) -> list[bytes]:
@@ -91,10 +93,19 @@ def _counts(fp: np.ndarray) -> np.ndarray:
 
 
 def _striped(nodes: DataFrame, words: int, by_size: bool) -> tuple[DataFrame, int]:
-    """Nodes in ranges of size or of bit counts, and the rows a stripe should have. One row holds up to TILE nodes."""
-    total = nodes.count()
-    rows = int(np.clip(total // STRIPES, *STRIPE))
-    n = max(1, -(-total // rows))
+    """Nodes in ranges of size or of bit counts, and the rows a stripe should have. One row holds up to TILE nodes.
+
+    Nodes with ``comp`` and ``grams`` keep them: the components and, end to end, the shingle sets.
+    """
+    sets = "grams" in nodes.columns
+    if sets:
+        total, size = nodes.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("grams")), F.lit(0))).first()
+        rows = STRIPE[0]
+        n = max(1, -(-total // rows), -(-size // PART_BYTES))
+    else:
+        total = nodes.count()
+        rows = int(np.clip(total // STRIPES, *STRIPE))
+        n = max(1, -(-total // rows))
     parts = [F.expr("conv(substr(hex(fp), %d, 2), 16, 10)" % (2 * i + 1)) for i in range(8 * words)]
     first = [F.col("n_shingles")] if by_size else [sum(F.bit_count(p.cast("long")) for p in parts[: 4 * words]), sum(F.bit_count(p.cast("long")) for p in parts[4 * words :])]
 
@@ -111,28 +122,27 @@ def _striped(nodes: DataFrame, words: int, by_size: bool) -> tuple[DataFrame, in
         keys = [node, *c.T[::-1]] + ([size] if by_size else [c[:, 4:].sum(axis=1), c[:, :4].sum(axis=1)])
         order = np.lexsort(keys)
         part, out = TaskContext.get().partitionId(), []
+        comp = t.column("comp").to_numpy() if sets else None
         for i in range(0, len(order), TILE):
             at = order[i : i + TILE]
             out.append((part, node[at].tobytes(), fp[at].tobytes(), size[at].astype(np.int64).tobytes(), c[at].min(axis=0).tolist(), c[at].max(axis=0).tolist(), int(size[at].min()), int(size[at].max())))
-        names = ["part", "node", "fp", "size", "low", "high", "least", "most"]
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
+            if sets:
+                grams = [t.column("grams")[int(x)].as_py() for x in at]
+                out[-1] += (comp[at].tobytes(), b"".join(grams), np.cumsum([len(g) // 8 for g in grams]).astype(np.int64).tobytes())
+        names = ["part", "node", "fp", "size", "low", "high", "least", "most"] + ["comp", "grams", "ends"] * sets
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64()] + [pa.binary()] * 3 * sets
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     spread = nodes.repartitionByRange(n, *first, F.col("node"))
-    return spread.mapInArrow(cut, "part int, node binary, fp binary, size binary, low array<int>, high array<int>, least long, most long"), rows
+    more = ", comp binary, grams binary, ends binary" if sets else ""
+    return spread.mapInArrow(cut, "part int, node binary, fp binary, size binary, low array<int>, high array<int>, least long, most long" + more), rows
 
 
-def _cell(tiles: list[tuple], radius: int, words: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forest edges (node, node, distance) of one cell; tiles: (side, node, fp, size, low, high, least, most)."""
-    at, where = 0, []
-    for x in tiles:
-        where.append(at)
-        at += len(x[1])
-    node = np.concatenate([x[1] for x in tiles])
+def _met(tiles: list[tuple], radius: int, words: int, ratio: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tile, tile, rows, rows, distances) of one cell's pairs within ``radius``; tiles: (side, node, fp, size, low, high, least, most, ...)."""
     low, high = np.array([x[4] for x in tiles]), np.array([x[5] for x in tiles])
     least, most = np.array([x[6] for x in tiles]), np.array([x[7] for x in tiles])
     side = np.array([x[0] for x in tiles])
-    A, B, D = [], [], []
     for i, x in enumerate(tiles):
         js = np.arange(len(tiles))
         js = js[(js >= i) if x[0] == 2 else (side == 1) & (x[0] == 0)]
@@ -157,11 +167,23 @@ def _cell(tiles: list[tuple], radius: int, words: int, ratio: float) -> tuple[np
                 s, t = x[3][a], y[3][b]
                 ok = np.minimum(s, t) >= ratio * np.maximum(s, t) - 1e-9
                 a, b = a[ok], b[ok]
-            dist = d[a, b]
-            keep = forest(len(x[1]) + len(y[1]), a, b + (0 if i == j else len(x[1])), dist)
-            A.append(a[keep] + where[i])
-            B.append(b[keep] + where[j])
-            D.append(dist[keep])
+            yield i, j, a, b, d[a, b]
+
+
+def _starts(tiles: list[tuple]) -> np.ndarray:
+    return np.cumsum([0] + [len(x[1]) for x in tiles])
+
+
+def _cell(tiles: list[tuple], radius: int, words: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forest edges (node, node, distance) of one cell."""
+    where, A, B, D = _starts(tiles), [], [], []
+    node = np.concatenate([x[1] for x in tiles])
+    for i, j, a, b, dist in _met(tiles, radius, words, ratio):
+        n = len(tiles[i][1])
+        keep = forest(n + len(tiles[j][1]), a, b + (0 if i == j else n), dist)
+        A.append(a[keep] + where[i])
+        B.append(b[keep] + where[j])
+        D.append(dist[keep])
     if not A:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b, d = np.concatenate(A), np.concatenate(B), np.concatenate(D)
@@ -169,6 +191,39 @@ def _cell(tiles: list[tuple], radius: int, words: int, ratio: float) -> tuple[np
     return node[a[keep]], node[b[keep]], d[keep].astype(np.int64)
 
 
+def alike(s: np.ndarray, t: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted sets have Jaccard similarity of ``threshold`` or more."""
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return both >= threshold * (len(s) + len(t) - both) - 1e-9
+
+
+def _true_cell(tiles: list[tuple], radius: int, words: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (node, node, distance) of sets alike by ``ratio`` that join all that any such link of the cell within ``radius`` joins.
+
+    Tiles end with (components, sets). Nearest pairs are tested first, and each pair whose ends are not
+    joined by then, by their component or by a link found before, so none of another group is passed over.
+    """
+    where, sets = _starts(tiles), [g for x in tiles for g in x[9]]
+    node = np.concatenate([x[1] for x in tiles])
+    root = np.unique(np.concatenate([x[8] for x in tiles]), return_inverse=True)[1]
+    out = []
+    for i, j, a, b, dist in _met(tiles, radius, words, ratio):
+        order = np.argsort(dist, kind="stable")
+        a, b, dist = a[order] + where[i], b[order] + where[j], dist[order]
+        while len(a):
+            live = root[a] != root[b]
+            a, b, dist = a[live], b[live], dist[live]
+            for k in range(len(a)):
+                if alike(sets[a[k]], sets[b[k]], ratio):
+                    out.append((node[a[k]], node[b[k]], dist[k]))
+                    root[root == root[b[k]]] = root[a[k]]
+                    break
+            else:
+                break
+            a, b, dist = a[k + 1 :], b[k + 1 :], dist[k + 1 :]
+    return tuple(np.array(x, dtype=np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
 def tiled_links(nodes: DataFrame, radius: int, words: int = 1, ratio: float = 0.0) -> DataFrame:
     """(a, b, d): links within ``radius`` that join all that any links within it join.
 
@@ -177,11 +232,19 @@ def tiled_links(nodes: DataFrame, radius: int, words: int = 1, ratio: float = 0.
     spanning forest comes out, so large groups give no more rows than they have members in a cell.
     With ``ratio``, only pairs whose sizes have at least that ratio link, and stripes are ranges of
     size so that most pairs of stripes are never met.
+
+    Nodes that also have ``comp`` (long) and ``grams`` (sorted hashes as bytes) link only if their sets
+    have Jaccard similarity ``ratio``, and where ``comp`` doesn't join them already.
     """
+    sets = "grams" in nodes.columns
     stripes, rows = _striped(nodes, words, bool(ratio))
     stripes = saved(stripes, "stripes")
     box = stripes.groupBy("part").agg(F.sum(F.octet_length("node") / 8).alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), *[F.min(F.col("low")[i]).alias(f"l{i}") for i in range(8)], *[F.max(F.col("high")[i]).alias(f"h{i}") for i in range(8)]).orderBy("part").collect()
-    own = merged([int(r["n"]) for r in box], rows)
+    if sets:
+        held = {r["part"]: r["n"] for r in stripes.groupBy("part").agg(F.sum(F.octet_length("grams")).alias("n")).collect()}
+        own = merged([max(held[r["part"]], int(r["n"]) * STRIPE_BYTES // rows) for r in box], STRIPE_BYTES)
+    else:
+        own = merged([int(r["n"]) for r in box], rows)
     low = np.array([np.min([[box[p]["least"]] + [box[p][f"l{i}"] for i in range(8)] for p in s], axis=0) for s in own]).reshape(len(own), 9)
     high = np.array([np.max([[box[p]["most"]] + [box[p][f"h{i}"] for i in range(8)] for p in s], axis=0) for s in own]).reshape(len(own), 9)
 
@@ -194,7 +257,10 @@ def tiled_links(nodes: DataFrame, radius: int, words: int = 1, ratio: float = 0.
     def compare(key, batch):
         c = {n: batch.column(n).to_pylist() for n in batch.column_names}
         tiles = [(s, np.frombuffer(n, np.int64), np.frombuffer(f, np.uint64).reshape(-1, words), np.frombuffer(z, np.int64), lo, hi, x, y) for s, n, f, z, lo, hi, x, y in zip(c["side"], c["node"], c["fp"], c["size"], c["low"], c["high"], c["least"], c["most"], strict=True)]
-        a, b, d = _cell(tiles, radius, words, ratio)
+        if sets:
+            own = [np.split(np.frombuffer(g, np.uint64), np.frombuffer(e, np.int64)[:-1]) for g, e in zip(c["grams"], c["ends"], strict=True)]
+            tiles = [(*x, np.frombuffer(p, np.int64), g) for x, p, g in zip(tiles, c["comp"], own, strict=True)]
+        a, b, d = (_true_cell if sets else _cell)(tiles, radius, words, ratio)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "d": pa.array(d, pa.int64())})
 
     cells = dealt_to_cells(stripes, [[box[p]["part"] for p in s] for s in own], pairs)
@@ -224,8 +290,9 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, radiu
 
     128-bit SimHash over distinct shingles proposes: at similarity 0.8 the expected distance is 19 and
     38 lies over four standard deviations above it. Tile pairs whose numbers of shingles can't reach
-    the threshold are skipped. Links are verified exactly; of each cell's links the nearest that hold
-    its groups together are, so a group of thousands of copies costs no pairs of all its members.
+    the threshold are skipped. Links are verified exactly: first the nearest that hold each cell's groups
+    together, so a group of thousands of copies costs no pairs of all its members; then, where some of
+    those fail, all others between parts that are still separate, with the shingle sets in the cells.
 
     Texts of equal word sequences are one node. Rows without words form no group with others. Null
     doc_ids have a null component; an empty table gives no rows.
@@ -234,7 +301,11 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, radiu
     some = prints.where("doc_id IS NOT NULL AND n_shingles > 0")
     nodes = saved(some.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.max("n_shingles").alias("n_shingles")), "nodes")
     links = saved(tiled_links(nodes, radius, 2, threshold).groupBy("a", "b").agg(F.min("d").alias("d")), "links")
-    true = verified(docs, links, threshold, k)
+    sets = linked_sets(docs, links, k)
+    true = saved(verified(links, sets, threshold), "true")
+    open_ = saved(still_open(links, true).join(nodes.select("node", "fp", "n_shingles"), "node").join(sets, "node"), "open")
+    if open_.limit(1).count():
+        true = true.unionByName(tiled_links(open_, radius, 2, threshold).select("a", "b"))
     comp = connected_components(true)
     by_text = nodes.join(comp, "node", "left").select("text_key", F.coalesce("component", "node").alias("component_id"))
     out = prints.join(by_text, "text_key", "left")
@@ -265,21 +336,32 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, grams binary")
 
 
-def verified(docs: DataFrame, links: DataFrame, threshold: float, k: int) -> DataFrame:
-    """The links whose texts have Jaccard similarity of ``threshold`` or more over sets of k-word shingles."""
+def linked_sets(docs: DataFrame, links: DataFrame, k: int) -> DataFrame:
+    """The shingle sets of the ends of ``links``."""
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     wanted = texts.join(beside(saved(ends, "ends")), "node", "left_semi")
-    sets = saved(shingle_sets(wanted, k).dropDuplicates(["node"]), "sets")
+    return saved(shingle_sets(wanted, k).dropDuplicates(["node"]), "sets")
+
+
+def verified(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The links whose sets have Jaccard similarity of ``threshold`` or more."""
     both = links.join(sets.withColumnsRenamed({"node": "a", "grams": "ga"}), "a").join(sets.withColumnsRenamed({"node": "b", "grams": "gb"}), "b").select("a", "b", "ga", "gb")
 
     def test(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(both >= threshold * (len(s) + len(t) - both) - 1e-9)
+            ok = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), threshold) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(test, "a long, b long")
+
+
+def still_open(links: DataFrame, true: DataFrame) -> DataFrame:
+    """(node, comp): nodes whose group by ``links`` falls apart by ``true``, with their component by ``true``.
+
+    Any other link within the radius joins two nodes of one group by ``links``; a group of two has none.
+    """
+    met = connected_components(links).withColumnRenamed("component", "met")
+    both = saved(met.join(connected_components(true), "node", "left").select("node", "met", F.coalesce("component", "node").alias("comp")), "met")
+    apart = both.groupBy("met").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y AND n > 2")
+    return both.join(apart.select("met"), "met", "left_semi").select("node", "comp")

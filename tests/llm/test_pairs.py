@@ -127,6 +127,26 @@ def test_similar_documents(spark):
     assert kept == {i for i in live if want[i] == i} | (set(sets) - set(live))
 
 
+@pytest.mark.parametrize("copies", [20, 300])
+def test_copies_alike_only_by_their_original(spark, copies):
+    rng = random.Random(copies)
+    vocab = ["w%d" % i for i in range(2000)]
+    rows = []
+    for g in range(4):
+        first = [rng.choice(vocab) for _ in range(200)]
+        want = set(simhash.shingles(words_of(" ".join(first)), 5))
+        rows.append((1000 * g + copies, " ".join(first)))
+        while len(rows) < (g + 1) * (copies + 1):
+            w = list(first)
+            for _ in range(3):
+                w[rng.randrange(200)] = rng.choice(vocab)
+            own = set(simhash.shingles(words_of(" ".join(w)), 5))
+            if len(own & want) >= 0.8 * len(own | want):
+                rows.append((1000 * g + len(rows) % (copies + 1) - 1, " ".join(w)))
+    got = simhash.similar_documents(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == len({i for i, _ in rows}) and all(r["component_id"] == r["doc_id"] // 1000 * 1000 for r in got)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((60, 24)).astype(np.float32)
