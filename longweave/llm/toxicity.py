@@ -172,19 +172,22 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.kept = model, Generations(CACHE)
 
-    def _learn(self, words: set[str]) -> None:
-        units, owner, names = [], [], list(words)
-        for k, w in enumerate(names):
+    def _learn(self, words: list[str]) -> list[float]:
+        """The margins of distinct words; the cache may keep only some of them."""
+        units, owner = [], []
+        for k, w in enumerate(words):
             u = _EDGE.sub("", w)
             for v in {u, _SIGNS.sub("", u)}:  # with and without signs put in between
                 for x in windows(v) if len(v) > 2 else ():
                     units.append(x)
                     owner.append(k)
-        worst = np.full(len(names), -3.0)
+        worst = np.full(len(words), -3.0)
         if units:
             np.maximum.at(worst, owner, self.model.margins(units))
-        for w, m in zip(names, worst.tolist(), strict=True):
+        got = worst.tolist()
+        for w, m in zip(words, got, strict=True):
             self.kept.put(w, m)
+        return got
 
     def sentences(self, text: str) -> list[tuple[str, float]]:
         """The sentences of a text with their margins, for reports."""
@@ -204,9 +207,7 @@ class Scorer:
                 elif m > best:
                     best = m
             for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                self._learn(set(part))
-                best = max(best, *(x if (x := get(w)) is not None else -3.0 for w in part))
+                best = max(best, *self._learn(new[i : i + 20_000]))
             out.append(best)
         return out
 

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from longweave.llm import bpe, language, line_dedup, pii, sharding, token_counts, toxicity
@@ -135,6 +136,18 @@ def test_toxicity_tolerates_gaps(spark):
     assert none.count() == 5 and none.where("predicted = 1").count() == 0
 
 
+def test_scores_do_not_depend_on_the_cache(monkeypatch):
+    class Plain:
+        def margins(self, units):
+            return np.array([1.5 if "insult" in u else -1.0 for u in units])
+
+    words = [f"{i:064x}" for i in range(25_000)]
+    texts = [" ".join(words[:k] + ["insult%d" % k] + words[k:]) for k in (0, 12_000, 25_000)] + [" ".join(words)]
+    for size in (100, 4_000_000):
+        monkeypatch.setattr(toxicity, "CACHE", size)
+        assert toxicity.Scorer(Plain()).worst(texts) == [1.5, 1.5, 1.5, -1.0]
+
+
 def test_line_dedup(spark):
     rows = [(i, "menu\nown line %d\n  menu \r\nfoot" % i, "h1") for i in range(10)] + [(20 + i, "menu\nother %d" % i, "h2") for i in range(400)]
     rows = [(i, t.replace("menu", "x%d" % i) if i >= 22 else t, h) for i, t, h in rows] + [(900, None, "h1"), (901, "menu", None), (902, "", "h1"), (903, "menu\n", "h1")]
