@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 from math import ceil, log
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from longweave.session import saved
+
 #: Ends that an alignment may leave out for free: of the reference before and after.
 MODES = {"global": (False, False), "infix": (True, True), "leading": (False, True), "trailing": (True, False)}
 
@@ -25,27 +28,31 @@ def edit_align(query: str, reference: str, mode: str = "global") -> tuple[str, i
     free_before, free_after = MODES[mode]
     q, r = _bytes(query), _bytes(reference)
     n, m = len(q), len(r)
-    cost = np.zeros((n + 1, m + 1), dtype=np.int32)
-    cost[0] = 0 if free_before else np.arange(m + 1)
+    cost = np.zeros(m + 1, dtype=np.int32) if free_before else np.arange(m + 1, dtype=np.int32)
     along = np.arange(m + 1)
+    across = np.zeros((n, m // 8 + 1), dtype=np.uint8)  # a bit a cell: whether these moves end there
+    down = np.zeros((n, m // 8 + 1), dtype=np.uint8)
     for i in range(1, n + 1):
-        base = np.empty(m + 1, dtype=np.int32)
+        base, both = np.empty(m + 1, dtype=np.int32), cost[:-1] + (r != q[i - 1])
         base[0] = i
-        base[1:] = np.minimum(cost[i - 1, :-1] + (r != q[i - 1]), cost[i - 1, 1:] + 1)
-        cost[i] = np.minimum.accumulate(base - along) + along  # gaps along the reference
-    end = int(cost[n].argmin()) if free_after else m
+        base[1:] = np.minimum(both, cost[1:] + 1)
+        new = np.minimum.accumulate(base - along) + along  # gaps along the reference
+        across[i - 1] = np.packbits(np.append(False, new[1:] == both), bitorder="little")
+        down[i - 1] = np.packbits(new == cost + 1, bitorder="little")
+        cost = new
+    end = int(cost.argmin()) if free_after else m
     i, j, ops = n, end, []
     while i > 0 or (j > 0 and not (free_before and i == 0)):
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (q[i - 1] != r[j - 1]):
+        if i and j and across[i - 1, j >> 3] >> (j & 7) & 1:
             ops.append("M" if q[i - 1] == r[j - 1] else "X")
             i, j = i - 1, j - 1
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+        elif i and down[i - 1, j >> 3] >> (j & 7) & 1:
             ops.append("I")
             i -= 1
         else:
             ops.append("D")
             j -= 1
-    return "".join(reversed(ops)), int(cost[n, end]), j, end
+    return "".join(reversed(ops)), int(cost[end]), j, end
 
 
 def compress(ops: str) -> str:
@@ -196,6 +203,30 @@ def chunk_align(a: list[tuple], b: list[tuple], match: int = 10, other: int = -2
     return int(s[n, m]), "".join(reversed(ops))
 
 
+def ballots(draft: str, seqs: dict[str, int]) -> list[Counter]:
+    """What sequences, each so often, have at each place of a draft and, at odd positions, in between."""
+    out = [Counter() for _ in range(2 * len(draft) + 1)]
+    for s, n in seqs.items():
+        ops, _, _, _ = edit_align(s, draft)
+        i = j = 0
+        extra = ""
+        for op in ops:
+            if op == "I":
+                extra += s[i]
+                i += 1
+                continue
+            out[2 * j][extra] += n
+            extra = ""
+            out[2 * j + 1][s[i] if op != "D" else ""] += n
+            i, j = i + (op != "D"), j + 1
+        out[2 * j][extra] += n
+    return out
+
+
+def elected(votes: list[Counter]) -> str:
+    return "".join(max(c, key=lambda k: (c[k], k)) for c in votes)
+
+
 def consensus(sequences: list[str], rounds: int = 2, least: int = 1) -> str | None:
     """Majority of the sequences along a draft of upper-median length; None below ``least`` sequences."""
     seqs = [s for s in sequences if s]
@@ -204,46 +235,70 @@ def consensus(sequences: list[str], rounds: int = 2, least: int = 1) -> str | No
     middle = sorted(map(len, seqs))[len(seqs) // 2]
     draft = next(s for s in seqs if len(s) == middle)
     for _ in range(rounds):
-        votes = [Counter() for _ in draft]
-        inserts = [Counter() for _ in range(len(draft) + 1)]
-        for s in seqs:
-            ops, _, _, _ = edit_align(s, draft)
-            i = j = 0
-            extra = ""
-            for op in ops:
-                if op == "I":
-                    extra += s[i]
-                    i += 1
-                    continue
-                inserts[j][extra] += 1
-                extra = ""
-                votes[j][s[i] if op != "D" else ""] += 1
-                i, j = i + (op != "D"), j + 1
-            inserts[j][extra] += 1
-        pick = lambda c: max(c, key=lambda k: (c[k], k))
-        new = "".join(pick(inserts[j]) + pick(votes[j]) for j in range(len(draft))) + pick(inserts[-1])
+        new = elected(ballots(draft, Counter(seqs)))
         if new == draft:
             break
         draft = new
     return draft
 
 
-def grouped_consensus(df: DataFrame, keys: list[str], least: int = 1, most: int = 50) -> DataFrame:
-    """(keys, seq, n): consensus of each group of ``seq``.
+#: Parts that a group's sequences are aligned in, so that a hot group is many tasks' work.
+PARTS = 64
 
-    A group uses ``most`` sequences of the smallest md5, picked on the map side, so a hot group stays small.
+
+def grouped_consensus(df: DataFrame, keys: list[str], least: int = 1, most: int | None = None, rounds: int = 2) -> DataFrame:
+    """(keys, n, seq): :func:`consensus` of each group of ``seq``; the draft is the least string of upper-median length.
+
+    All sequences vote, or ``most`` of the smallest md5. Equal ones are counted first and aligned once;
+    a group is aligned in parts that send their votes, so no task holds all of a hot group.
     """
+    import json
+
     import pyarrow as pa
 
-    top = df.groupBy(*keys).agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list(F.struct(F.md5("seq").alias("h"), "seq"))), 1, most).alias("xs"))
-    schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", n long, seq string"
+    if most is not None:
+        first = Window.partitionBy(*keys).orderBy(F.md5("seq"), "seq")
+        voters = df.where("length(seq) > 0").withColumn("__lw_at", F.row_number().over(first)).where(F.col("__lw_at") <= most)
+    else:
+        voters = df.where("length(seq) > 0")
+    counted = saved(voters.groupBy(*keys, "seq").agg(F.count("*").alias("c")).withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(PARTS)).cast("int")), "counted")
+    lengths = counted.groupBy(*keys, F.length("seq").alias("len")).agg(F.sum("c").alias("c"), F.min("seq").alias("seq"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("len").rowsBetween(Window.unboundedPreceding, 0)
+    own = lengths.withColumns({"total": F.sum("c").over(whole), "upto": F.sum("c").over(upto)})
+    draft = own.where(F.col("total") >= least).where("upto > total div 2 AND upto - c <= total div 2").select(*keys, "seq")
+    parts = saved(counted.select(*keys, "part").distinct(), "parts")
+    of_keys = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
+
+    def same(x, y):
+        return reduce(lambda a, b: a & b, [x[k].eqNullSafe(y[k]) for k in keys])
+
+    def head(t, rows=1):
+        return [t.column(k).slice(0, rows) for k in keys]
+
+    def vote(left, right):
+        if not left.num_rows or not right.num_rows:
+            return pa.table({k: left.column(k).slice(0, 0) for k in keys} | {"votes": pa.array([], pa.string())})
+        seqs = dict(zip(left.column("seq").to_pylist(), left.column("c").to_pylist(), strict=True))
+        return pa.Table.from_arrays([*head(left), pa.array([json.dumps(ballots(right.column("seq")[0].as_py(), seqs))])], [*keys, "votes"])
+
+    def elect(t):
+        sums: list[Counter] = []
+        for x in t.column("votes"):
+            got = json.loads(x.as_py())
+            sums = sums or [Counter() for _ in got]
+            for c, d in zip(sums, got, strict=True):
+                c.update(d)
+        return pa.Table.from_arrays([*head(t), pa.array([elected(sums)])], [*keys, "seq"])
 
-    def run(batches):
-        for b in batches:
-            seqs = [consensus([x["seq"] for x in xs], least=least) for xs in b.column("xs").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], b.column("n"), pa.array(seqs, pa.string())], [*keys, "n", "seq"])
-
-    return top.select(*keys, "n", "xs").mapInArrow(run, schema).where("seq IS NOT NULL")
+    for _ in range(rounds):
+        draft = saved(draft, "draft")
+        dealt = parts.join(draft, same(parts, draft)).select(*[parts[k] for k in keys], "part", draft["seq"])
+        votes = counted.groupBy(*keys, "part").cogroup(dealt.groupBy(*keys, "part")).applyInArrow(vote, of_keys + ", votes string")
+        draft = votes.groupBy(*keys).applyInArrow(elect, of_keys + ", seq string")
+    draft = saved(draft, "draft")
+    n = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return n.join(draft, same(n, draft)).select(*[n[k] for k in keys], n["n"], draft["seq"])
 
 
 def seed_candidates(queries: DataFrame, targets: DataFrame, k: int = 15, least: int = 3, band: int = 64) -> DataFrame:

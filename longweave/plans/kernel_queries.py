@@ -93,6 +93,6 @@ def _(spark, sf):
 
 @query("ml19_grouped_consensus")
 def _(spark, sf):
-    """Consensus of the short reads that begin alike."""
-    own = V.reads(spark, sf).where("length(seq) BETWEEN 20 AND 400").select(F.substring("seq", 1, 6).alias("head"), "seq")
-    return align.grouped_consensus(own, ["head"], least=2, most=10)
+    """Consensus of the reads that begin alike."""
+    own = V.reads(spark, sf).select(F.substring("seq", 1, 6).alias("head"), "seq")
+    return align.grouped_consensus(own, ["head"], least=2)

@@ -47,6 +47,30 @@ def test_fine_mapping_and_consensus():
     assert align.consensus(["A"], least=2) is None
 
 
+def test_whole_groups_vote(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = []
+    for head, size in (("a", 70), ("b", 9), (None, 15), ("d", 1)):
+        first = simulate.sequence(60, rng)
+        reads = [likelihood.with_errors(first, likelihood.Rates(0.1, 0.1, 0.1), rng) for _ in range(size)]
+        rows += [(head, s) for s in reads + reads[: size // 3]]
+    rows += [("a", None), ("a", ""), ("e", "")]
+    want = {}
+    for head in {h for h, _ in rows}:
+        own = [s for h, s in rows if h == head]
+        if (seq := align.consensus(sorted(s for s in own if s), least=2)) is not None:
+            want[head] = (len(own), seq)
+    got = align.grouped_consensus(spark.createDataFrame(rows, "head string, seq string"), ["head"], least=2).collect()
+    assert {r["head"]: (r["n"], r["seq"]) for r in got} == want and len(want) == 3
+
+    from longweave.plans import catalog, views
+
+    reads = [(i, "ACGTAC" + s) for i, s in enumerate([simulate.sequence(450, rng)] * 3 + ["GGG", "GGG", "GGT"] * 5)]
+    monkeypatch.setattr(views, "reads", lambda spark, sf: spark.createDataFrame(reads, "read_id long, seq string"))
+    got = catalog.queries()["ml19_grouped_consensus"](spark, "").collect()
+    assert [(r["n"], r["seq"]) for r in got] == [(18, align.consensus(sorted(s for _, s in reads)))]
+
+
 def test_chunk_alignments():
     a = [(1, 0, True), (2, 0, True), (3, 1, True), (4, 0, True)]
     assert align.chunk_overlap(a, a) == (4.0, "MMMM")
