@@ -1,20 +1,26 @@
-"""Connected components of an undirected graph, by rounds of contraction onto the least neighbour."""
+"""Connected components of an undirected graph, by rounds of hooking and pointer jumping."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from longweave.operators.joins import salted_join
 from longweave.session import drop_saved, saved
 
+#: Vertices up to which a round's table of them is broadcast, 16 bytes each and about as much again for the hash table.
+BROADCAST_VERTICES = 1_000_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that ``edges`` names; the component is its least node.
 
-    In each round every vertex moves onto its least neighbour (or stays) and the edges are rewritten
-    to the new names, so their number only falls and the number of rounds is about the logarithm of
-    the longest chain. Nothing is gathered on the driver but the number of edges left. Minima are
-    pre-aggregated before the shuffle, so a vertex with very many neighbours is no hot spot.
+    In each round every vertex hooks onto its least neighbour. That gives trees of two vertices or more
+    whose roots are pairs that hook onto each other, the lesser of which stays. Pointers jump to those
+    roots by doubling, and the edges are rewritten to them, so the number of vertices at least halves in
+    a round and a chain of n takes about log2(n) jumps in whatever order its ids are. Minima are
+    pre-aggregated before the shuffle and joins on a vertex with very many neighbours are salted, so it
+    is no hot spot. Nothing is gathered on the driver but whether there is more to do.
 
     Null ends and self loops are left out; repeated edges count once; no edges give no rows.
     """
@@ -22,19 +28,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     live = saved(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     labels = None
     while live.limit(1).count():
-        best = live.select("a", F.col("b").alias("m")).unionByName(live.select(F.col("b").alias("a"), F.col("b").alias("m")))
-        best = saved(best.groupBy("a").agg(F.min("m").alias("m")), "least")
+        both = live.select(F.col("a").alias("v"), F.col("b").alias("p")).unionByName(live.select(F.col("b").alias("v"), F.col("a").alias("p")))
+        roots = _rooted(saved(both.groupBy("v").agg(F.min("p").alias("p")), "hooks"))
         if labels is None:
-            new = best.select(F.col("a").alias("node"), F.col("m").alias("component"))
+            new = roots.select(F.col("v").alias("node"), F.col("p").alias("component"))
         else:
-            moved = best.where("a <> m").select(F.col("a").alias("component"), "m")
-            new = labels.join(moved, "component", "left").select("node", F.coalesce("m", "component").alias("component"))
+            found = _looked_up(labels, roots.withColumnsRenamed({"v": "component", "p": "to"}), "component", "node")
+            new = found.select("node", F.coalesce("to", "component").alias("component"))
         new = saved(new, "labels")
-        left = best.select(F.col("a"), F.col("m").alias("ma"))
-        right = best.select(F.col("a").alias("b"), F.col("m").alias("mb"))
-        moved = live.join(left, "a").join(right, "b").where("ma <> mb")
-        after = saved(moved.select(F.greatest("ma", "mb").alias("a"), F.least("ma", "mb").alias("b")).distinct(), "edges")
-        for old in (live, labels, best):
+        moved = _looked_up(live, roots.withColumnsRenamed({"v": "a", "p": "ra"}), "a", "b")
+        moved = _looked_up(moved, roots.withColumnsRenamed({"v": "b", "p": "rb"}), "b", "a").where("ra <> rb")
+        after = saved(moved.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "edges")
+        for old in (live, labels, roots):
             if old is not None:
                 drop_saved(old)
         live, labels = after, new
@@ -42,3 +47,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     drop_saved(live)
     return labels
+
+
+def _looked_up(left: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    if table.count() <= BROADCAST_VERTICES:
+        return left.join(F.broadcast(table), key, "left")
+    return salted_join(left, table, key, by, "left")
+
+
+def _rooted(hooks: DataFrame) -> DataFrame:
+    """(v, p) with each vertex's root, from (v, p) with its least neighbour."""
+    now, first = hooks, True
+    while True:
+        far = _looked_up(now, now.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p", "v")
+        to = F.when(F.col("pp") == F.col("v"), F.least("v", "p")).otherwise(F.col("pp")) if first else F.col("pp")
+        after = saved(far.select("v", to.alias("p"), (to != F.col("p")).alias("moved")), "jumps")
+        drop_saved(now)
+        now, first = after.select("v", "p"), False
+        now._saved_at = after._saved_at
+        if not after.where("moved").limit(1).count():
+            return now

@@ -6,6 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of one key that a task of a salted join takes, at least.
+HEAVY = 5000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", heavy: int = HEAVY) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, of which ``right`` has each value once and ``left`` any number of times.
+
+    Rows of a key with more than ``heavy`` of them in ``left`` are dealt over as many parts as that
+    takes by a hash of column ``by``, and the row of ``right`` is repeated for each part. What is
+    broadcast are the heavy keys: never more than the rows of ``left`` over ``heavy``, and ``heavy``
+    grows so that this is 1,000,000 at most. Null keys join nothing.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__lw_n"))
+    heavy = max(heavy, (counts.agg(F.sum("__lw_n")).first()[0] or 0) // 1_000_000)
+    hot = counts.where(F.col("__lw_n") > heavy).select(key, F.ceil(F.col("__lw_n") / heavy).cast("int").alias("__lw_parts"))
+    hot = F.broadcast(hot)
+    a = left.join(hot, key, "left").withColumn("__lw_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("__lw_parts")).cast("int"), F.lit(0))).drop("__lw_parts")
+    b = right.join(hot, key, "left").withColumn("__lw_salt", F.explode(F.sequence(F.lit(0), F.coalesce("__lw_parts", F.lit(1)) - 1))).drop("__lw_parts")
+    return a.join(b, [key, "__lw_salt"], how).drop("__lw_salt")
+
+
 def of_chunks(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     """Nodes with what is known of their chunk. Spark broadcasts the chunks while they are small."""
     return nodes.join(chunks, "chunk")
