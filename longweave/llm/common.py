@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch that goes to a Python worker; bounds a worker's memory.
-BATCH_ROWS = 2000
+from longweave.session import saved
+
+#: Rows and bytes in an Arrow batch that goes to a Python worker; they bound a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +19,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Hand long texts to Python in small Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def tidy(run):
+    """``run`` over Arrow batches, giving memory back when its task ends.
+
+    Spark keeps Python workers for later tasks and stages, and what a stage's caches took would stay
+    with the worker otherwise.
+    """
+
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return own
+
+
+def released() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: memory is given back when it likes
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -74,15 +107,6 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
     return order[np.concatenate(chosen)] if chosen else np.zeros(0, dtype=np.int64)
 
 
-def stripe_pairs(low: np.ndarray, high: np.ndarray, near) -> list[tuple[int, int]]:
-    """Pairs s <= t of stripes for which ``near(low_s, high_s, lows, highs)`` holds; one row a stripe."""
-    out = []
-    for s in range(len(low)):
-        ok = near(low[s], high[s], low[s:], high[s:])
-        out += [(s, s + int(t)) for t in np.nonzero(ok)[0]]
-    return out
-
-
 #: Ids up to which a list of them is broadcast, 8 bytes each and about as much again for the hash table.
 BROADCAST_IDS = 4_000_000
 
@@ -108,15 +132,40 @@ def merged(counts: list[int], rows: int) -> list[list[int]]:
     return out
 
 
-def dealt_to_cells(parts: DataFrame, members: list[list[int]], pairs: list[tuple[int, int]]) -> DataFrame:
-    """Each row once for every cell (pair of stripes) that it takes part in; column ``part`` goes.
+#: Entries (cell, stripe) up to which the table of cells is broadcast, 16 bytes each.
+BROADCAST_CELLS = 1_000_000
 
-    members: the parts of each stripe. Adds ``cell`` and ``side`` (0: first stripe of the cell, 1: second,
-    2: both are the same). The list of cells has at most half the square of the number of stripes, which
-    the caller bounds.
+
+def dealt_to_cells(parts: DataFrame, members: list[list[int]], low: np.ndarray, high: np.ndarray, near) -> tuple[DataFrame, int]:
+    """(each row once for every cell, a pair of stripes, that it takes part in; the number of cells).
+
+    members: the parts of each stripe; low, high: a row of bounds for each stripe. Stripes s <= t make a
+    cell if ``near(low_s, high_s, lows, highs)`` holds. Executors test the pairs, a row of stripes at a
+    time, so the driver holds the stripes alone. Adds ``cell`` and ``side`` (0: first stripe of the
+    cell, 1: second, 2: both are the same); column ``part`` goes.
     """
-    rows = [(x, k, 2) for k, (s, t) in enumerate(pairs) if s == t for x in members[s]]
-    rows += [(x, k, side) for k, (s, t) in enumerate(pairs) if s != t for side, y in ((0, s), (1, t)) for x in members[y]]
-    cells = parts.sparkSession.createDataFrame(rows or [(-1, -1, 2)], "part int, cell long, side int")
-    cells = cells.groupBy("part").agg(F.collect_list(F.struct("cell", "side")).alias("c"))
-    return parts.join(F.broadcast(cells), "part").withColumn("c", F.explode("c")).select("*", "c.cell", "c.side").drop("c", "part")
+    import pyarrow as pa
+
+    spark, n = parts.sparkSession, len(members)
+    boxes = spark.sparkContext.broadcast((low, high))
+
+    def paired(batches):
+        lows, highs = boxes.value
+        for batch in batches:
+            stripe, cell, side = [], [], []
+            for s in batch.column(0).to_pylist():
+                t = s + np.nonzero(near(lows[s], highs[s], lows[s:], highs[s:]))[0]
+                other = t[t != s]
+                stripe += [np.full(len(t), s), other]
+                cell += [s * n + t, s * n + other]
+                side += [np.where(t == s, 2, 0), np.ones(len(other), np.int64)]
+            cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cat(x)) for x in (stripe, cell, side)], ["stripe", "cell", "side"])
+
+    tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+    cells = saved(spark.range(0, n, 1, tasks).mapInArrow(paired, "stripe long, cell long, side long"), "cells")
+    entries, total = cells.agg(F.count("*"), F.count(F.when(F.col("side") != 1, 1))).first()
+    of_part = spark.createDataFrame([(p, s) for s, own in enumerate(members) for p in own] or [(-1, -1)], "part int, stripe long")
+    cells = cells.groupBy("stripe").agg(F.collect_list(F.struct("cell", "side")).alias("c"))
+    own = parts.join(F.broadcast(of_part), "part").join(F.broadcast(cells) if entries <= BROADCAST_CELLS else cells, "stripe")
+    return own.withColumn("c", F.explode("c")).select("*", "c.cell", F.col("c.side").cast("int").alias("side")).drop("c", "part", "stripe"), total

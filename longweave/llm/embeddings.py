@@ -1,28 +1,37 @@
 """Embedding near-dedup with binary codes of a randomised rotation and stored correction factors.
 
 A unit vector o is rotated and kept as the signs of its components: a corner c of the cube, scaled to
-length 1, and the factor f = <c, o>. For another unit vector q, <c, q> / f estimates <o, q> without
-bias. The part of o beside c is at right angles to it, so <o, q> lies within
-f <c, q> ± sqrt(1 - f²) sqrt(1 - <c, q>²). Pairs whose upper bound reaches the threshold are computed
-anew in double precision, the others can't link. The bound holds always, not just mostly.
+length 1, and the factor f = <c, o>. The rotated vector itself is kept in 6 bits a component, rounded
+up or down by chance so that <c, q> is met without bias. <c, q> / f then estimates <o, q> without bias,
+by ands and bit counts of the sign code with the bit planes of q. The part of o beside c points
+anywhere at right angles to o, so the estimate errs by sqrt((1 - f²) / f²) sqrt(1 - <o, q>²) times one
+component of a random direction, which exceeds CONFIDENCE / sqrt(dim - 1) with chance under 1e-10 at 64
+dimensions; rounding exceeds its bound with chance 1e-12. Before that, pairs whose sign codes differ in
+more bits than linked vectors' do but with chance MISS are passed over by exclusive-or. So a link is
+missed with chance 2e-10 or so; what is found is recomputed in double precision, so none is wrong.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, comb, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longweave.llm.common import dealt_to_cells, forest, merged, stripe_pairs
+from longweave.llm.common import dealt_to_cells, forest, merged, tidy
 from longweave.operators.components import connected_components
 from longweave.session import saved
 
 THRESHOLD = 0.95
+#: Standard deviations of the bound around an estimate, and the chance that a link's codes differ too much.
+CONFIDENCE, MISS = 6.0, 1e-10
+#: Bits of a component of a rotated vector.
+PLANES = 6
 #: Vectors in a stripe, at least and at most, and stripes for a table of middling size.
-STRIPE, STRIPES = (1024, 32_768), 12
+STRIPE, STRIPES = (1024, 32_768), 8
 #: Vectors that the ordering direction is fitted on; any direction gives the same links.
 AXIS_ROWS = 2000
 _BLOCK = 512
@@ -34,49 +43,104 @@ def rotation(dim: int, seed: int = 42) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(packed signs, factors) of unit vectors, one row each."""
-    y = x @ turn.T
-    return np.packbits(y >= 0, axis=1), np.abs(y).sum(axis=1) / np.sqrt(x.shape[1])
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits in 64-bit words."""
+    n, dim = bits.shape
+    out = np.zeros((n, 8 * -(-dim // 64)), dtype=np.uint8)
+    own = np.packbits(bits, axis=1)
+    out[:, : own.shape[1]] = own
+    return out.view(np.uint64)
 
 
-def bounds(code: np.ndarray, factor: np.ndarray, turned: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs (row of codes, row of turned unit vectors) may reach the threshold.
+class Codes:
+    """Codes of unit vectors: sign words, factors, bit planes (rows, planes, words), offsets and steps."""
 
-    The bound reaches it where the angles of o and of q to the corner differ by no more than the
-    threshold's angle; a margin covers single precision.
-    """
-    dim = turned.shape[1]
-    corner = (np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-    e = corner @ turned.T.astype(np.float32)
-    angle, most = np.arccos(np.clip(factor, -1, 1)), np.arccos(min(1.0, threshold))
-    low, high = np.cos(np.minimum(np.pi, angle + most)) - 1e-4, np.cos(np.maximum(0, angle - most)) + 1e-4
-    return (e >= low[:, None].astype(np.float32)) & (e <= high[:, None].astype(np.float32))
+    def __init__(self, dim: int, sign, factor, planes, low, step) -> None:
+        self.dim, self.sign, self.factor, self.planes, self.low, self.step = dim, sign, factor, planes, low, step
+        self.ones = np.bitwise_count(sign).sum(axis=1, dtype=np.int64)
+        self.total = (np.bitwise_count(planes).sum(axis=2, dtype=np.int64) << np.arange(PLANES)).sum(axis=1)
 
+    @classmethod
+    def of(cls, unit: np.ndarray, turn: np.ndarray, seed: int = 1) -> Codes:
+        y = unit @ turn.T
+        low = y.min(axis=1)
+        step = np.maximum((y.max(axis=1) - low) / ((1 << PLANES) - 1), 1e-12)
+        u = np.floor((y - low[:, None]) / step[:, None] + np.random.default_rng(seed).random(y.shape))
+        u = np.clip(u, 0, (1 << PLANES) - 1).astype(np.uint8)
+        planes = np.stack([_packed(u >> p & 1) for p in range(PLANES)], axis=1)
+        return cls(unit.shape[1], _packed(y >= 0), np.abs(y).sum(axis=1) / sqrt(unit.shape[1]), planes, low, step)
 
-def _cell(node, mult, vec, code, factor, side, turn, threshold):
-    """(links of each node, forest edges) between the sides of a cell."""
-    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
-    turned = (unit @ turn.T).astype(np.float32)
+    def __getitem__(self, at) -> Codes:
+        return Codes(self.dim, self.sign[at], self.factor[at], self.planes[at], self.low[at], self.step[at])
+
+
+def most_bits(dim: int, threshold: float, miss: float = MISS) -> int:
+    """Bits in which codes of vectors at the threshold differ at most, but with chance ``miss``."""
+    p, left = acos(max(-1.0, min(1.0, threshold))) / pi, 1.0
+    for h in range(dim):
+        left -= comb(dim, h) * p**h * (1 - p) ** (dim - h)
+        if left <= miss:
+            return h
+    return dim
+
+
+def estimates(a: Codes, b: Codes, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """<c, q> of pairs: the code of row i of ``a`` with the rotated row j of ``b``."""
+    dot = np.zeros(len(i), dtype=np.int64)
+    for w in range(a.sign.shape[1]):
+        own = a.sign[i, w]
+        for p in range(PLANES):
+            dot += np.bitwise_count(own & b.planes[j, p, w]).astype(np.int64) << p
+    return ((2 * dot - b.total[j]) * b.step[j] + b.low[j] * (2 * a.ones[i] - a.dim)) / sqrt(a.dim)
+
+
+def survivors(a: Codes, b: Codes, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of a, row of b) that the codes can't tell to be below the threshold."""
+    far, most = np.zeros((len(a.sign), len(b.sign)), dtype=np.uint16), most_bits(a.dim, threshold)
+    for w in range(a.sign.shape[1]):
+        far += np.bitwise_count(a.sign[:, w, None] ^ b.sign[None, :, w])
+    i, j = np.nonzero(far <= most)
+    keep = []
+    beside = sqrt(max(0.0, 1 - threshold**2)) * min(1.0, CONFIDENCE / sqrt(max(1, a.dim - 1)))
+    rounding = sqrt(log(1e12) / 2)
+    for lo in range(0, len(i), 1 << 18):
+        x, y = i[lo : lo + (1 << 18)], j[lo : lo + (1 << 18)]
+        least = a.factor[x] * threshold - np.sqrt(np.maximum(0, 1 - a.factor[x] ** 2)) * beside - rounding * b.step[y] - 1e-6
+        keep.append(estimates(a, b, x, y) >= least)
+    ok = np.concatenate(keep) if keep else np.zeros(0, bool)
+    return i[ok], j[ok]
+
+
+def _sides(side: np.ndarray) -> tuple[bool, np.ndarray, np.ndarray]:
     one = side[0] == 2
-    left = np.arange(len(node)) if one else np.nonzero(side == 0)[0]
-    right = left if one else np.nonzero(side == 1)[0]
-    links = np.zeros(len(node), dtype=np.int64)
-    A, B = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left = np.arange(len(side)) if one else np.nonzero(side == 0)[0]
+    return one, left, left if one else np.nonzero(side == 1)[0]
+
+
+def _met(codes: Codes, side: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Surviving pairs of a cell, block by block."""
+    one, left, right = _sides(side)
     for lo in range(0, len(left), _BLOCK):
-        a = left[lo : lo + _BLOCK]
-        b = right[lo:] if one else right
+        a, b = left[lo : lo + _BLOCK], right[lo:] if one else right
         if not len(b):
             continue
-        i, j = np.nonzero(bounds(code[a], factor[a], turned[b], threshold))
+        i, j = survivors(codes[a], codes[b], threshold)
         if one:
             i, j = i[j > i], j[j > i]  # b starts at the block's own first row
-        i, j = a[i], b[j]
-        keep = []
-        for k in range(0, len(i), 100_000):
-            x, y = i[k : k + 100_000], j[k : k + 100_000]
-            keep.append(np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold)
-        ok = np.concatenate(keep) if keep else np.zeros(0, bool)
+        yield a[i], b[j]
+
+
+def _exact(unit: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Double-precision cosines of pairs of rows."""
+    return np.concatenate([np.einsum("ij,ij->i", unit[i[k : k + 100_000]], unit[j[k : k + 100_000]]) for k in range(0, len(i), 100_000)]) if len(i) else np.zeros(0)
+
+
+def _cell(node, mult, unit, codes: Codes, side, threshold):
+    """(links of each node, forest edges) between the sides of a cell."""
+    links = np.zeros(len(node), dtype=np.int64)
+    A, B = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in _met(codes, side, threshold):
+        ok = _exact(unit, i, j) >= threshold
         i, j = i[ok], j[ok]
         links += np.bincount(i, weights=mult[j], minlength=len(node)).astype(np.int64)
         links += np.bincount(j, weights=mult[i], minlength=len(node)).astype(np.int64)
@@ -94,8 +158,28 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return vectors.where(ok & F.col("vec_id").isNotNull()).groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult"))
 
 
+_CODE = "node long, sign binary, factor float, planes binary, low float, step float"
+
+
+def _columns(codes: Codes) -> list[pa.Array]:
+    n = len(codes.sign)
+    blob = lambda x: pa.array([r.tobytes() for r in x.reshape(n, -1)], pa.binary())
+    return [blob(codes.sign), pa.array(codes.factor.astype(np.float32)), blob(codes.planes), pa.array(codes.low.astype(np.float32)), pa.array(codes.step.astype(np.float32))]
+
+
+def _codes_of(t: pa.Table, dim: int) -> Codes:
+    words = -(-dim // 64)
+    blob = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64)
+    number = lambda c: t.column(c).to_numpy().astype(np.float64)
+    return Codes(dim, blob("sign").reshape(-1, words), number("factor"), blob("planes").reshape(-1, PLANES, words), number("low"), number("step"))
+
+
 def _linked(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(a, b, n): forest edges (n null), and links of a that one cell found (b null)."""
+    """(a, b, n): forest edges (n null), and links of a that one cell found (b null).
+
+    Codes alone go to the cells at first. Vectors follow only to the cells in which their code has a
+    surviving pair.
+    """
     spark = nodes.sparkSession
     sized = nodes.where(F.size("embedding") == dim)
     total = sized.count()
@@ -107,38 +191,42 @@ def _linked(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
     turn = rotation(dim)
     reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6  # how far apart linked unit vectors can be
 
-    def scaled(batch_column) -> np.ndarray:
+    def units(batch_column) -> np.ndarray:
         x = batch_column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        return x / np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
+        x = x / np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = scaled(batch.column(2))
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            code, factor = encode(x, turn)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor), pa.array(x @ axis)], ["node", "mult", "embedding", "code", "factor", "along"])
-
-    kind = dict(nodes.dtypes)["embedding"]
-    codes = sized.select("node", "mult", "embedding").mapInArrow(coded, f"node long, mult long, embedding {kind}, code binary, factor double, along double")
+            if batch.num_rows:
+                x = units(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(Codes.of(x, turn)), pa.array(x @ axis)], ["node", "sign", "factor", "planes", "low", "step", "along"])
+
+    codes = sized.select("node", "embedding").mapInArrow(tidy(coded), _CODE + ", along double")
     spread = saved(codes.repartitionByRange(max(1, -(-total // rows)), "along", "node").withColumn("part", F.spark_partition_id()), "codes")
     box = spread.groupBy("part").agg(F.count("*").alias("n"), F.min("along").alias("lo"), F.max("along").alias("hi")).orderBy("part").collect()
     own = merged([r["n"] for r in box], rows)
     low, high = np.array([min(box[p]["lo"] for p in s) for s in own]), np.array([max(box[p]["hi"] for p in s) for s in own])
-    pairs = stripe_pairs(low, high, lambda lo, hi, los, his: (los <= hi + reach) & (lo <= his + reach))
+    reached = lambda lo, hi, los, his: (los <= hi + reach) & (lo <= his + reach)
+    cells, count = dealt_to_cells(spread.drop("along"), [[box[p]["part"] for p in s] for s in own], low, high, reached)
+    n = max(2 * spark.sparkContext.defaultParallelism, min(count, 4096))
 
-    def compare(key, t):
+    def screened(key, t):
         side = t.column("side").to_numpy()
-        code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(side), -1)
-        node = t.column("node").to_numpy()
-        links, a, b = _cell(node, t.column("mult").to_numpy(), scaled(t.column("embedding").combine_chunks()), code, t.column("factor").to_numpy(), side, turn, threshold)
+        live = np.zeros(len(side), dtype=bool)
+        for i, j in _met(_codes_of(t, dim), side, threshold):
+            live[i] = live[j] = True
+        return t.filter(pa.array(live))
+
+    found = saved(cells.repartition(n, "cell").groupBy("cell").applyInArrow(screened, _CODE + ", cell long, side int"), "survivors")
+
+    def compare(key, t):
+        node, side = t.column("node").to_numpy(), t.column("side").to_numpy()
+        links, a, b = _cell(node, t.column("mult").to_numpy(), units(t.column("embedding").combine_chunks()), _codes_of(t, dim), side, threshold)
         at = np.nonzero(links)[0]
         return pa.table({"a": pa.array(np.r_[a, node[at]], pa.int64()), "b": pa.array([*b.tolist(), *[None] * len(at)], pa.int64()), "n": pa.array([*[None] * len(a), *links[at].tolist()], pa.int64())})
 
-    cells = dealt_to_cells(spread.drop("along"), [[box[p]["part"] for p in s] for s in own], pairs)
-    n = max(2 * spark.sparkContext.defaultParallelism, min(len(pairs), 4096))
-    return cells.repartition(n, "cell").groupBy("cell").applyInArrow(compare, "a long, b long, n long")
+    return found.join(sized, "node").repartition(n, "cell").groupBy("cell").applyInArrow(compare, "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -15,8 +15,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longweave.llm.common import as_bytes, beside, dealt_to_cells, forest, merged, small_batches, stripe_pairs, words_of
+from longweave.llm.common import as_bytes, beside, dealt_to_cells, forest, merged, small_batches, tidy, words_of
 from longweave.operators.components import connected_components
+from longweave.operators.joins import salted_join
 from longweave.session import saved
 
 #: Rows of a tile: two tiles' distances fit a core's cache.
@@ -27,6 +28,8 @@ STRIPE = (4096, 262_144)
 STRIPES = 24
 #: Bytes of shingle sets in a stripe that carries them, and in a part that stripes are merged from.
 STRIPE_BYTES, PART_BYTES = 24 << 20, 1 << 20
+#: Links of one document whose sets a task meets.
+SET_LINKS = 500
 
 
 def shingles(words: list[bytes], k: int) -> list[bytes]:
@@ -82,7 +85,7 @@ def fingerprints(docs: DataFrame, k: int = 3, seeds: tuple[int, ...] = (42,), di
                 key.append(xxhash.xxh3_128_digest(b" ".join(w)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(key, pa.binary())], ["doc_id", "fp", "n_shingles", "text_key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary, n_shingles long, text_key binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp binary, n_shingles long, text_key binary")
 
 
 def _counts(fp: np.ndarray) -> np.ndarray:
@@ -252,8 +255,6 @@ def tiled_links(nodes: DataFrame, radius: int, words: int = 1, ratio: float = 0.
         ok = np.maximum(0, np.maximum(los[:, 1:] - hi[1:], lo[1:] - his[:, 1:])).sum(axis=1) <= radius
         return ok & (his[:, 0] >= ratio * lo[0] - 1e-9) & (hi[0] >= ratio * los[:, 0] - 1e-9) if ratio else ok
 
-    pairs = stripe_pairs(low, high, near)
-
     def compare(key, batch):
         c = {n: batch.column(n).to_pylist() for n in batch.column_names}
         tiles = [(s, np.frombuffer(n, np.int64), np.frombuffer(f, np.uint64).reshape(-1, words), np.frombuffer(z, np.int64), lo, hi, x, y) for s, n, f, z, lo, hi, x, y in zip(c["side"], c["node"], c["fp"], c["size"], c["low"], c["high"], c["least"], c["most"], strict=True)]
@@ -263,8 +264,8 @@ def tiled_links(nodes: DataFrame, radius: int, words: int = 1, ratio: float = 0.
         a, b, d = (_true_cell if sets else _cell)(tiles, radius, words, ratio)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "d": pa.array(d, pa.int64())})
 
-    cells = dealt_to_cells(stripes, [[box[p]["part"] for p in s] for s in own], pairs)
-    n = max(2 * stripes.sparkSession.sparkContext.defaultParallelism, min(len(pairs), 4096))
+    cells, total = dealt_to_cells(stripes, [[box[p]["part"] for p in s] for s in own], low, high, near)
+    n = max(2 * stripes.sparkSession.sparkContext.defaultParallelism, min(total, 4096))
     return cells.repartition(n, "cell").groupBy("cell").applyInArrow(compare, "a long, b long, d long")
 
 
@@ -297,63 +298,99 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, radiu
     Texts of equal word sequences are one node. Rows without words form no group with others. Null
     doc_ids have a null component; an empty table gives no rows.
     """
+    return grouped(docs, threshold, k, radius).select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def grouped(docs: DataFrame, threshold: float, k: int, radius: int) -> DataFrame:
+    """(doc_id, text_key, component_id): :func:`similar_documents` by text; no component without words or id.
+
+    A node is a text and not a doc_id, so rows that share an id but not a text are apart.
+    """
     prints = saved(fingerprints(docs, k, (42, 43), distinct=True), "prints")
     some = prints.where("doc_id IS NOT NULL AND n_shingles > 0")
-    nodes = saved(some.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.max("n_shingles").alias("n_shingles")), "nodes")
-    links = saved(tiled_links(nodes, radius, 2, threshold).groupBy("a", "b").agg(F.min("d").alias("d")), "links")
-    sets = linked_sets(docs, links, k)
+    nodes = some.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.max("n_shingles").alias("n_shingles"))
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    links = saved(tiled_links(nodes.select("node", "fp", "n_shingles"), radius, 2, threshold).groupBy("a", "b").agg(F.min("d").alias("d")), "links")
+    sets = linked_sets(docs, nodes, links, k)
     true = saved(verified(links, sets, threshold), "true")
     open_ = saved(still_open(links, true).join(nodes.select("node", "fp", "n_shingles"), "node").join(sets, "node"), "open")
     if open_.limit(1).count():
         true = true.unionByName(tiled_links(open_, radius, 2, threshold).select("a", "b"))
     comp = connected_components(true)
-    by_text = nodes.join(comp, "node", "left").select("text_key", F.coalesce("component", "node").alias("component_id"))
-    out = prints.join(by_text, "text_key", "left")
-    return out.select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of = saved(nodes.join(comp, "node", "left").select("text_key", "least", F.coalesce("component", "node").alias("component")), "components")
+    first = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_text = of.join(first, "component").select("text_key", "component_id")
+    out = prints.join(by_text, "text_key", "left").select("doc_id", "text_key", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return out
 
 
-def one_of_each(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
-    """``docs`` with the smallest doc_id of each group of :func:`similar_documents`.
+def one_of_each(docs: DataFrame, threshold: float = 0.8, k: int = 5, radius: int = 38) -> DataFrame:
+    """``docs`` with the row of smallest doc_id of each group of :func:`similar_documents`.
 
-    Rows without words or without a doc_id stay. Rows that repeat a doc_id are one document: one stays.
+    Rows without words or without a doc_id stay, however often they are repeated. Rows that repeat a
+    doc_id are told apart by their words: of equal ones one row stays, the others belong to groups of
+    their own. If two rows of a group have its smallest doc_id, the one whose text hashes less stays.
+    Very long texts are hashed as a whole. Columns may have any names; an empty table gives no rows.
     """
-    groups = saved(similar_documents(docs, threshold, k), "groups")
+    groups = saved(grouped(docs, threshold, k, radius).where("component_id IS NOT NULL"), "groups")
     gone = saved(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__lw_id")).distinct(), "gone")
-    some = docs.join(beside(gone), F.col("doc_id").cast("long") == F.col("__lw_id"), "left_anti")
-    if not groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return some
-    return some.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(some.where("doc_id IS NULL"))
-
+    twice = saved(groups.groupBy(F.col("doc_id").alias("__lw_id")).agg(F.count("*").alias("n")).where("n > 1").select("__lw_id"), "twice")
+    own = F.col("doc_id").cast("long") == F.col("__lw_id")
+    if not twice.limit(1).count():
+        return docs.join(beside(gone), own, "left_anti")
+    once = docs.join(beside(gone.unionByName(twice).distinct()), own, "left_anti")
+    best = groups.where("doc_id = component_id").groupBy("component_id").agg(F.min("text_key").alias("text_key")).select(F.col("component_id").alias("__lw_id"), F.col("text_key").alias("__lw_best"))
+    again = with_text_key(docs.join(beside(twice), own, "left_semi"))
+    worded = again.where("__lw_key IS NOT NULL")
+    kept = worded.join(best, own & (F.col("__lw_key") == F.col("__lw_best")), "left_semi").dropDuplicates(["doc_id", "__lw_key"])
+    return once.unionByName(kept.drop("__lw_key")).unionByName(again.where("__lw_key IS NULL").drop("__lw_key"))
+
+
+def with_text_key(docs: DataFrame) -> DataFrame:
+    """``docs`` and ``__lw_key``, the hash of a text's words; null without any."""
+    from pyspark.sql import types as T
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, grams): the sorted distinct hashes of a text's k-word shingles, as bytes."""
+    small_batches(docs.sparkSession)
+    at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField("__lw_key", T.BinaryType())])
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(hashed(shingles(words_of(t), k))).tobytes() for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["node", "grams"])
+            words = [words_of(t) for t in as_bytes(batch.column(at))]
+            keys = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "__lw_key"])
 
-    return docs.mapInArrow(run, "node long, grams binary")
+    return docs.mapInArrow(tidy(run), schema)
 
 
-def linked_sets(docs: DataFrame, links: DataFrame, k: int) -> DataFrame:
-    """The shingle sets of the ends of ``links``."""
+def linked_sets(docs: DataFrame, nodes: DataFrame, links: DataFrame, k: int) -> DataFrame:
+    """(node, grams): the sorted distinct hashes, as bytes, of the k-word shingles of the ends of ``links``."""
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    wanted = texts.join(beside(saved(ends, "ends")), "node", "left_semi")
-    return saved(shingle_sets(wanted, k).dropDuplicates(["node"]), "sets")
+    of = saved(nodes.join(ends, "node", "left_semi").select("node", "text_key", "least"), "ends")
+    texts = docs.select(F.col("doc_id").cast("long").alias("least"), F.col("text").cast("string").alias("text"))
+    wanted = texts.join(beside(of.select("least").distinct()), "least", "left_semi")
+
+    def run(batches):
+        for batch in batches:
+            words = [words_of(t) for t in as_bytes(batch.column(1))]
+            sets = [np.unique(hashed(shingles(w, k))).tobytes() for w in words]
+            keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["text_key", "grams"])
+
+    found = wanted.mapInArrow(tidy(run), "text_key binary, grams binary")
+    return saved(found.join(of.select("text_key", "node"), "text_key").select("node", "grams").dropDuplicates(["node"]), "sets")
 
 
 def verified(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The links whose sets have Jaccard similarity of ``threshold`` or more."""
-    both = links.join(sets.withColumnsRenamed({"node": "a", "grams": "ga"}), "a").join(sets.withColumnsRenamed({"node": "b", "grams": "gb"}), "b").select("a", "b", "ga", "gb")
+    """The links whose sets have Jaccard similarity of ``threshold`` or more; a node with very many links is met in parts."""
+    one = salted_join(links.select("a", "b"), sets.withColumnsRenamed({"node": "a", "grams": "ga"}), "a", "b", heavy=SET_LINKS)
+    both = salted_join(one, sets.withColumnsRenamed({"node": "b", "grams": "gb"}), "b", "a", heavy=SET_LINKS).select("a", "b", "ga", "gb")
 
     def test(batches):
         for batch in batches:
             ok = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), threshold) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(test, "a long, b long")
+    return both.mapInArrow(tidy(test), "a long, b long")
 
 
 def still_open(links: DataFrame, true: DataFrame) -> DataFrame:

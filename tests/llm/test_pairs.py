@@ -173,11 +173,24 @@ def test_bounds_lose_no_link_and_prune():
     x = rng.standard_normal((400, 64))
     x = np.vstack([x, x[:200] + 0.3 * rng.standard_normal((200, 64))])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    turn = embeddings.rotation(64)
-    code, factor = embeddings.encode(x, turn)
-    got = embeddings.bounds(code, factor, (x @ turn.T).astype(np.float32), 0.95)
+    codes = embeddings.Codes.of(x, embeddings.rotation(64))
+    got = np.zeros((len(x), len(x)), dtype=bool)
+    got[embeddings.survivors(codes, codes, 0.95)] = True
     true = x @ x.T >= 0.95
-    assert got[true].all() and got.mean() < 0.1
+    assert got[true].all() and got.mean() < 0.01
+
+
+@pytest.mark.parametrize("dim", [3, 64, 100])
+def test_estimates_are_unbiased(dim):
+    rng = np.random.default_rng(6)
+    o, q = rng.standard_normal((2, dim))
+    o, q = o / np.linalg.norm(o), q / np.linalg.norm(q)
+    x, seen = np.array([o, 0.9 * o + 0.436 * (q - (q @ o) * o) / np.linalg.norm(q - (q @ o) * o)]), []
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for seed in range(800):
+        c = embeddings.Codes.of(x, embeddings.rotation(dim, seed), seed)
+        seen.append(embeddings.estimates(c, c, np.array([0]), np.array([1]))[0] / c.factor[0])
+    assert abs(np.mean(seen) - x[0] @ x[1]) < 5 * np.std(seen) / np.sqrt(len(seen))
 
 
 def plain_hits(w, items):

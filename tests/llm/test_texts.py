@@ -28,12 +28,39 @@ def test_codec_is_the_library(bits):
     path = tokenizer_path("word_bpe_49k.json")
     tok, codec = Tokenizer.from_file(path), bpe.ChunkedCodec(path, bits)
     texts = odd_texts(200)
-    for t, (n, ids, decoded) in zip(texts, codec.encode_batch([t.encode() for t in texts]), strict=True):
+    for t, own in zip(texts, codec.encode_batch([t.encode() for t in texts]), strict=True):
+        n, ids, decoded = codec.spelled(own)
         want = tok.encode(t, add_special_tokens=False).ids
         assert (n, ids) == (len(want), " ".join(map(str, want)))
         assert decoded == codec.decode(want) == tok.decode(want, skip_special_tokens=False)
 
 
+def test_windows_grow_until_they_agree():
+    """Chunks whose kept ids are wrong near a cut disagree with the window, which then takes in more of them."""
+    codec = bpe.ChunkedCodec(tokenizer_path("word_bpe_49k.json"))
+    a, b = b"one two three four five six sev", b"en eight nine ten eleven twelve"
+    own = {x: codec.encode_batch([x])[0] for x in (a, b)}
+    good = codec._repaired({(a, b)}, own)[a, b]
+    assert codec.grown == 0 and len(good[1]) < len(own[a])
+    wrong = own | {a: own[a][:-16] + bytes(16)}
+    drop, middle, after = codec._repaired({(a, b)}, wrong)[a, b]
+    assert codec.grown > 0 and wrong[a][: len(own[a]) - drop] + middle + own[b][after:] == codec.encode_batch([a + b])[0]
+
+
+def test_unproven_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        bpe.ChunkedCodec(tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_long_text_without_spaces(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    text = "".join(random.Random(3).choice("abcdefgh") for _ in range(60_000))
+    ids = bpe.ChunkedCodec(path).encode(("x " + text + " y").encode())
+    assert ids == Tokenizer.from_file(path).encode("x " + text + " y", add_special_tokens=False).ids
+
+
 def test_chunks_are_shared():
     rng = random.Random(4)
     passage = " ".join("word%d" % rng.randrange(10**6) for _ in range(2000)).encode()
@@ -45,7 +72,7 @@ def test_chunks_are_shared():
 
 
 def test_caches_are_bounded():
-    kept = bpe.Generations(100)
+    kept = bpe.Generations(25 * (bpe.Generations.OBJECTS + 4))
     for i in range(1000):
         kept.put("%04d" % i, i)
     assert len(kept.young) + len(kept.old) <= 52 and kept.get("0999") == 999 and kept.get("0000") is None
