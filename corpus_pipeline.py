@@ -50,10 +50,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each one's rows written to the shared folder for the next."""
-    from longweave.session import saved
+    """The stages applied to ``documents``, each one's rows written to the shared folder for the next.
+
+    What a stage writes on the way is deleted when it ends, and its input when the next one has ended.
+    """
+    from longweave.session import drop_saved, saved, scratch
 
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            after = keep(saved(stage(spark, docs, sf_dir), name))
+        drop_saved(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

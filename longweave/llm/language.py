@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longweave.llm.common import held_out, small_batches
+from longweave.llm.common import held_out, small_batches, tidy
 
 #: Buckets of the hashed n-grams, and the n-grams' lengths.
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
 #: About so many documents of each language are learned from, by a hash of their id.
 TRAIN_DOCS = 5000
 #: Characters scored at once.
-SLICE = 400_000
+SLICE = 100_000
 
 _LETTER: list[np.ndarray] = []
 
@@ -105,6 +105,40 @@ def scores(text: str | None, logp: np.ndarray) -> np.ndarray | None:
     return s
 
 
+def batch_scores(texts: list[str | None], logp: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the languages for each text, a row each; NaN for texts without a letter.
+
+    A batch is a sparse matrix of texts by buckets, whose entries are met in order of the texts, in
+    parts of about SLICE entries; longer texts go one by one.
+    """
+    out = np.full((len(texts), logp.shape[1]), np.nan)
+    own = [codes(t) if t else np.zeros(0, np.uint32) for t in texts]
+    at = [i for i, x in enumerate(own) if len(x)]
+    lo = 0
+    while lo < len(at):
+        hi, size = lo, 0
+        while hi < len(at) and (hi == lo or size + len(own[at[hi]]) <= SLICE):
+            size += len(own[at[hi]])
+            hi += 1
+        part = at[lo:hi]
+        if len(part) == 1:
+            out[part[0]] = scores(texts[part[0]], logp)
+        else:
+            x, row = np.concatenate([own[i] for i in part]), np.repeat(np.arange(len(part)), [len(own[i]) for i in part])
+            sums = np.tile(logp[-1].astype(np.float64), (len(part), 1))
+            for n, bucket in zip(ORDERS, grams(x), strict=False):
+                of = row[: len(bucket)]
+                inside = of == row[n - 1 :]  # n-grams that cross texts don't count
+                bucket, of = bucket[inside], of[inside]
+                first = np.searchsorted(of, np.arange(len(part)))
+                live = first < np.append(first[1:], len(of))
+                if live.any():
+                    sums[live] += np.add.reduceat(logp[bucket], first[live], axis=0, dtype=np.float64)
+            out[part] = sums
+        lo = hi
+    return out
+
+
 def identified(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score (the language's posterior).
 
@@ -120,17 +154,16 @@ def identified(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logp = model.value
         for batch in batches:
-            pred, prob = [], []
-            for t in batch.column(2).to_pylist():
-                s = scores(t, logp) if langs else None
-                if s is None:
-                    pred.append("und")
-                    prob.append(0.0)
-                    continue
-                k = int(s.argmax())
-                pred.append(langs[k])
-                prob.append(float(1.0 / np.exp(s - s[k]).sum()))
+            s = batch_scores(batch.column(2).to_pylist(), logp)
+            if langs:
+                none = np.isnan(s[:, 0])
+                s[none] = 0.0
+                best = s.argmax(axis=1)
+                prob = np.where(none, 0.0, 1.0 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1))
+                pred = ["und" if x else langs[k] for k, x in zip(best, none, strict=True)]
+            else:
+                pred, prob = ["und"] * len(s), np.zeros(len(s))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(prob, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and contextual patterns bootstrapped from what those find.
 
-DataFrame and SQL functions only. One pass over the texts finds the base spans and the other words
-with a digit in them, each with the words before it. Base spans seed the bootstrapping: the words
-before a value are a lexical pattern, and patterns and values form a graph that is scored in rounds:
-a pattern by the share of its values that are trusted, a value by the trusted patterns it stands in.
-Patterns of high confidence give the kind to values that no fixed pattern knows.
+DataFrame and SQL functions only. One pass over the texts finds the base spans and what else may be an
+identifier (words with a digit or with a sign inside, groups of digits), each with the words before it.
+Base spans seed the bootstrapping: the words before a value are a lexical pattern, and patterns and
+values form a graph that is scored in rounds: a pattern by the share of its values that are trusted, a
+value by the trusted patterns it stands in. A value found in one round supports the other patterns that
+it stands in in the next, so contexts without any base span come to be believed too. Patterns of high
+confidence give the kind to values that no fixed pattern knows.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from longweave.operators.joins import salted_join
 from longweave.session import saved
 
 #: Kinds in the order of the spans, and their patterns. Fixed values, but that repeats are possessive
@@ -25,16 +28,20 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried at all.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Words with a digit that may be identifiers, with the signs at their ends cut off.
-WORD = r"(?<![^\s])[^\s0-9]*+[0-9]\S*+"
+#: What may be an identifier, with the signs at its ends cut off: a word with a digit and groups of digits
+#: after it, or a word of letters with one of SIGNS inside. Words of letters alone are not looked at.
+SIGNS = r"@._%+()\[\]<>:/\\#*=|~"
+WORD = rf"(?<![^\s])(?:[^\s0-9]*+[0-9]\S*+(?: \(?[0-9][0-9().-]*+(?![^\s]))*+|[^\s0-9{SIGNS}]++[{SIGNS}]++[^\s0-9{SIGNS}]\S*+)"
+#: What a text must hold for that to be tried.
+NEEDS_WORD = rf"[0-9]|[^\s{SIGNS}][{SIGNS}]+[^\s{SIGNS}]"
 #: A pattern is believed if so many distinct values of a kind stand in it, and so sure.
-LEAST_VALUES, CONFIDENT, ROUNDS = 5, 0.8, 3
+LEAST_VALUES, CONFIDENT, ROUNDS = 5, 0.8, 4
 #: Characters before a value that its context is read from.
 CONTEXT = 60
 #: Parts whose positions are summed together; an even number.
 BLOCK = 256
-#: Characters of the longest value that bootstrapping takes for an identifier.
-LONGEST = 80
+#: Believed patterns up to which they are broadcast, some 60 bytes each.
+BROADCAST_PATTERNS = 200_000
 
 #: Marks a match while positions are counted, and what stands for it in a text that has it itself.
 _MARK, _OTHER = "\ue000", "\ue001"
@@ -95,7 +102,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, base, words): base spans with kind and context, and the other words with digits."""
+    """(row, doc_id, base, words): base spans with kind and context, and what else may be an identifier; ``row`` is a row's number."""
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _MARK, _OTHER)
     none = "array<struct<start:int,end:int,value:string,before:string>>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("digit", F.col("text").rlike("[0-9]"))
@@ -106,23 +113,23 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     empty = F.array().cast("array<string>")
     parts = [F.when(needed(k), _parts(F.col("text"), PATTERNS[k])).otherwise(empty).alias(k) for k in KINDS]
-    parts.append(F.when(F.col("digit"), _parts(F.col("text"), WORD)).otherwise(empty).alias("words"))
-    rows = rows.select("doc_id", F.md5("text").alias("text_key"), *parts)
-    rows = rows.select("doc_id", "text_key", *[F.when(F.size(k) > 1, _found(k)).otherwise(F.array().cast(none)).alias(k) for k in (*KINDS, "words")])
+    parts.append(F.when(F.col("text").rlike(NEEDS_WORD), _parts(F.col("text"), WORD)).otherwise(empty).alias("words"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", *parts)
+    rows = rows.select("row", "doc_id", *[F.when(F.size(k) > 1, _found(k)).otherwise(F.array().cast(none)).alias(k) for k in (*KINDS, "words")])
 
     def checked(kind: str) -> Column:
         own = F.filter(kind, lambda x: _valid(kind, x["value"]))
         return F.transform(own, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["before"].alias("before")))
 
-    rows = rows.select("doc_id", "text_key", "words", *[checked(k).alias(k) for k in KINDS])
+    rows = rows.select("row", "doc_id", "words", *[checked(k).alias(k) for k in KINDS])
     base = F.concat(*[F.col(k) for k in KINDS])
     # a word loses the signs at its ends
     lead = lambda x: F.length(F.regexp_extract(x["value"], "^[^A-Za-z0-9+]*+", 0))
     tail = lambda x: F.length(F.regexp_extract(x["value"], "[^A-Za-z0-9]*+$", 0))
-    bare = F.transform(F.filter("words", lambda x: F.length(x["value"]) <= LONGEST), lambda x: F.struct((x["start"] + lead(x)).alias("start"), (x["end"] - tail(x)).alias("end"), x["value"].alias("value"), x["before"].alias("before")))
-    rows = rows.select("doc_id", "text_key", base.alias("base"), bare.alias("words"))
+    bare = F.transform("words", lambda x: F.struct((x["start"] + lead(x)).alias("start"), (x["end"] - tail(x)).alias("end"), x["value"].alias("value"), x["before"].alias("before")))
+    rows = rows.select("row", "doc_id", base.alias("base"), bare.alias("words"))
     free = F.filter("words", lambda x: (x["end"] > x["start"]) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return rows.select("doc_id", "text_key", "base", F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["before"].alias("before"))).alias("words"))
+    return rows.select("row", "doc_id", "base", F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["before"].alias("before"))).alias("words"))
 
 
 def _patterns(before: Column) -> Column:
@@ -137,34 +144,37 @@ def _patterns(before: Column) -> Column:
 def bootstrapped(scan: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, kind, confidence): the patterns that are believed.
 
-    Values count once for a pattern, however often copies of a text repeat them. Only patterns with
-    LEAST_VALUES seeds of a kind can come to be believed, so others leave the graph before the rounds.
+    Values count once for a pattern, however often copies of a text repeat them. A pattern needs
+    LEAST_VALUES trusted values of a kind, seeds or values found before, so patterns with fewer values
+    in all leave the graph at the start. Values are known by a hash, at any length.
     """
-    seeds = scan.select(F.explode("base").alias("x")).select("x.kind", "x.value", _patterns(F.col("x.before")).alias("p"))
-    others = scan.select(F.explode("words").alias("x")).select(F.lit(None).cast("string").alias("kind"), "x.value", _patterns(F.col("x.before")).alias("p"))
+    key = F.md5(F.lower("x.value"))
+    seeds = scan.select(F.explode("base").alias("x")).select("x.kind", key.alias("value"), _patterns(F.col("x.before")).alias("p"))
+    others = scan.select(F.explode("words").alias("x")).select(F.lit(None).cast("string").alias("kind"), key.alias("value"), _patterns(F.col("x.before")).alias("p"))
     edges = seeds.unionByName(others).withColumn("pattern", F.explode("p")).groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
-    per = edges.groupBy("pattern").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS])
-    hopeful = per.where(F.greatest(*KINDS) >= LEAST_VALUES).select("pattern")
-    edges = saved(edges.join(hopeful, "pattern", "left_semi"), "graph")
-    trust = edges.where("kind IS NOT NULL").select("value", F.col("kind").alias("as_kind"), F.lit(1.0).alias("trust")).distinct()
-    sums = edges.groupBy("pattern").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS])
-    best = None
+    edges = saved(edges, "values")
+    sums = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_VALUES)
+    edges = saved(edges.join(sums, "pattern"), "graph")
+    known = edges.where("kind IS NOT NULL").select("value", F.col("kind").alias("as_kind"), F.lit(1.0).alias("trust")).distinct()
+    trust, best = known, None
     for at in range(rounds):
-        mass = edges.join(trust, "value").groupBy("pattern", "as_kind").agg(F.sum("trust").alias("mass"))
-        got = mass.join(sums, "pattern")
-        support = F.coalesce(*[F.when(F.col("as_kind") == k, F.col(k)) for k in KINDS])
-        best = saved(got.where((support >= LEAST_VALUES) & (F.col("mass") >= CONFIDENT * F.col("n"))).select("pattern", F.col("as_kind").alias("kind"), (F.col("mass") / F.col("n")).alias("confidence")), "patterns")
+        got = edges.join(trust, "value").groupBy("pattern", "as_kind", "n").agg(F.sum("trust").alias("mass"), F.count(F.when(F.col("trust") >= CONFIDENT, 1)).alias("support"))
+        best = saved(got.where((F.col("support") >= LEAST_VALUES) & (F.col("mass") >= CONFIDENT * F.col("n"))).select("pattern", F.col("as_kind").alias("kind"), (F.col("mass") / F.col("n")).alias("confidence")), "patterns")
         if at + 1 < rounds:
-            doubt = edges.where("kind IS NULL").select("pattern", "value").join(best, "pattern").groupBy("value", F.col("kind").alias("as_kind")).agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("trust"))
-            trust = saved(edges.where("kind IS NOT NULL").select("value", F.col("kind").alias("as_kind"), F.lit(1.0).alias("trust")).distinct().unionByName(doubt), "trust")
+            found = edges.where("kind IS NULL").select("pattern", "value").join(best, "pattern").groupBy("value", F.col("kind").alias("as_kind")).agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("trust"))
+            if not found.limit(1).count():
+                break
+            trust = saved(known.unionByName(found), "trust")
     return best
 
 
 def discovered(scan: DataFrame, believed: DataFrame) -> DataFrame:
-    """(text_key, more): spans of words in believed patterns, of the surest kind; ties by kind's name."""
-    words = scan.where(F.size("words") > 0).dropDuplicates(["text_key"]).select("text_key", F.explode("words").alias("x")).select("text_key", "x.start", "x.end", F.explode(_patterns(F.col("x.before"))).alias("pattern"))
-    hits = words.join(believed, "pattern").groupBy("text_key", "start", "end").agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind"))
-    return hits.groupBy("text_key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
+    """(row, more): spans of words in believed patterns, of the surest kind; ties by kind's name."""
+    words = scan.where(F.size("words") > 0).select("row", F.explode("words").alias("x")).select("row", "x.start", "x.end", F.explode(_patterns(F.col("x.before"))).alias("pattern"))
+    few = believed.count() <= BROADCAST_PATTERNS
+    hits = words.join(F.broadcast(believed), "pattern") if few else salted_join(words, believed.groupBy("pattern").agg(F.max(F.struct("confidence", "kind")).alias("x")).select("pattern", "x.*"), "pattern", "row")
+    hits = hits.groupBy("row", "start", "end").agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind"))
+    return hits.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
 
 
 def _spelled(spans: Column) -> Column:
@@ -183,7 +193,7 @@ def spans(docs: DataFrame) -> DataFrame:
     scan = saved(scanned(docs), "scan")
     more = discovered(scan, bootstrapped(scan))
     bare = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    out = scan.join(more, "text_key", "left").withColumn("base", bare)
+    out = scan.join(more, "row", "left").withColumn("base", bare)
     return out.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")).alias("all"))
 
 

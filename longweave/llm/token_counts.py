@@ -10,17 +10,20 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longweave.llm.common import small_batches
+from longweave.llm.common import small_batches, tidy
+from longweave.session import drop_saved, saved
 
-#: Entries of the broadcast table, and rows that its candidates are counted on. The table only saves
-#: encoding: what it holds changes no count.
-TABLE_ENTRIES, TABLE_ROWS = 65_536, 2000
+#: Entries of the broadcast table. It only saves encoding: what it holds changes no count.
+TABLE_ENTRIES = 65_536
+#: Words that a task's summary holds; beyond that the rarer half of them is forgotten.
+SUMMARY_WORDS = 300_000
 #: Pre-tokens that a worker keeps besides the table.
 CACHE_ENTRIES = 400_000
 #: Characters of the longest pre-token that a worker keeps.
@@ -81,26 +84,63 @@ class Counts:
         return len(parts) - 1 + sum(sum(map(length, find(p))) for p in parts)
 
 
+class Summary:
+    """Counts of the words that follow a space, in bounded memory."""
+
+    def __init__(self, most: int = SUMMARY_WORDS) -> None:
+        self.n, self.most, self.total = Counter(), most, 0
+
+    def add(self, counts: dict[str, int], total: int) -> None:
+        self.total += total
+        self.n.update(counts)
+        if len(self.n) > self.most:
+            self.n = Counter(dict(self.n.most_common(self.most // 2)))
+
+    def row(self) -> pa.RecordBatch:
+        """One row with what makes up TABLE_ENTRIES'th of all words or more, so that many entries at most.
+
+        A word that is so frequent in the corpus is so in some part of it.
+        """
+        some = [(w, n) for w, n in self.n.items() if n * TABLE_ENTRIES >= self.total and len(w) <= LONGEST_KEPT]
+        columns = [pa.array([[w for w, _ in some]], pa.list_(pa.string())), pa.array([[n for _, n in some]], pa.list_(pa.int64())), pa.array([self.total], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["words", "n", "total"])
+
+
 def frequent_lengths(docs: DataFrame, tokenizer: str) -> dict[str, int]:
-    """The table: the most frequent pre-tokens of the first TABLE_ROWS rows of a partition, with their tokens.
+    """The table: the most frequent pre-tokens of all texts, with their tokens.
 
-    Taking rows from as few partitions as are needed, mostly one, costs no shuffle and no further scan.
+    Each task sums the words that it reads in a bounded summary and hands on one row; rows are merged by
+    executors down to the square root of their number before the driver merges those. No pre-token is
+    shuffled. Words are taken apart into pre-tokens at the end.
     """
+    schema = "words array<string>, n array<long>, total long"
 
     def count(batches):
-        pre, left, got = regex.compile(PATTERN), TABLE_ROWS, Counter()
+        own = Summary()
+        for batch in batches:
+            words = [w for t in batch.column(0).to_pylist() if t for w in t.split(" ")[1:]]
+            own.add(Counter(words), len(words))
+        yield own.row()
+
+    def merge(batches):
+        own = Summary()
         for batch in batches:
-            texts = batch.column(0).to_pylist()[:left]
-            left -= len(texts)
-            got.update(p for t in texts if t for p in pre.findall(t))
-            if left == 0:
-                break
-        most = got.most_common(TABLE_ENTRIES)
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in most], pa.string()), pa.array([n for _, n in most], pa.int64())], ["pre", "n"])
-
-    top = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "pre string, n long").take(TABLE_ENTRIES)
+            for words, n, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own.add(dict(zip(words, n, strict=True)), total)
+        yield own.row()
+
+    parts = saved(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(count), schema), "summaries")
+    several = max(1, isqrt(parts.count()))
+    all_ = Summary(4 * TABLE_ENTRIES)
+    for r in parts.repartition(several).mapInArrow(merge, schema).toLocalIterator():
+        all_.add(dict(zip(r["words"], r["n"], strict=True)), r["total"])
+    drop_saved(parts)
     tok, _ = _loaded(tokenizer)
-    pres = list(dict.fromkeys(r["pre"] for r in top))
+    pre, got = regex.compile(PATTERN), Counter()
+    for w, n in all_.n.items():
+        for p in pre.findall(" " + w):
+            got[p] += n
+    pres = [p for p, _ in sorted(got.items(), key=lambda x: (-x[1], x[0]))[:TABLE_ENTRIES]]
     return {p: len(e.ids) for p, e in zip(pres, tok.encode_batch_fast(pres, add_special_tokens=False), strict=True)} if pres else {}
 
 
@@ -122,4 +162,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
             size = [len(t.encode()) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

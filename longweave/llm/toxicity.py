@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longweave.llm.bpe import Generations
-from longweave.llm.common import held_out, small_batches, words_of
+from longweave.llm.common import held_out, small_batches, tidy, words_of
 from longweave.llm.simhash import hashed, shingles
 from longweave.session import drop_saved, saved
 
@@ -35,8 +35,8 @@ SPAN, DECAY = 6, 0.6
 #: Strings longer than this are met in windows, half overlapping.
 LONGEST = 24
 THRESHOLD = 0.3
-#: Characters of strings whose score a worker keeps, in each of two generations.
-CACHE = 1_200_000
+#: Bytes that the strings whose score a worker keeps take in each of two generations, objects included.
+CACHE = 40 << 20
 
 _SYMBOLS, _FEATURES = 64, 1 << 16
 #: Digits and signs that stand for letters: fixed values.
@@ -383,7 +383,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -398,4 +398,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
             margins = scorer.worst(batch.column(at).to_pylist())
             yield batch.filter(pa.array([scorer.model.score(m) < threshold for m in margins], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -253,3 +253,56 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[100] == "phone:20:28" and got[101] == "" and got[102] == ""
     assert all(got[200 + i] == "" for i in range(20))
     assert got[3] == ",".join(plain_spans(rows[3][1]))
+
+
+def test_second_generation_of_patterns(spark):
+    """Values that one context gives support another in which no base span stands; values may have signs, spaces or no digits."""
+    rows, odd = [], ["ann.lee(at)corp.example", "bo_ray(at)mail.example", "cy%dee(at)x.example", "di.eck(at)y.example", "ed.fox(at)z.example", "flo.gee(at)z.example"]
+    for i in range(40):
+        rows.append((i, f"please write to user{i}@corp.example today"))
+    for i, x in enumerate(odd):
+        rows.append((100 + i, f"please write to {x} today"))
+        rows.append((200 + i, f"reachable under {x} always"))
+    rows.append((300, "reachable under new.person(at)corp.example always"))
+    rows.append((301, "it says nothing of new.person(at)corp.example always"))
+    for i in range(30):
+        rows.append((400 + i, f"dial +1 555 010 {1000 + i} now"))
+    rows.append((500, "dial 555 010 7777 now"))
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[300] == "email:16:42" and got[301] == ""
+    assert got[100] == f"email:16:{16 + len(odd[0])}" and got[500] == "phone:5:17"
+
+
+def test_table_covers_all_partitions(spark):
+    """Frequent words count wherever they stand, in whatever partition."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    rows = [(i, "a " + " ".join([f"zebra{i // 100}"] * 50)) for i in range(400)]
+    df = spark.createDataFrame(rows, DOCS).repartitionByRange(4, "doc_id")
+    table = token_counts.frequent_lengths(df, path)
+    assert " zebra" in table and {"0", "1", "2", "3"} <= set(table)
+    some = token_counts.Summary(10)
+    for i in range(100):
+        some.add({f"w{i}": 1, "often": 3}, 4)
+    assert len(some.n) <= 12 and "often" in some.n
+
+
+def test_language_against_plain_bayes(spark):
+    """Batches of texts, cut anywhere, score like one n-gram at a time."""
+    rng = np.random.default_rng(0)
+    logp = rng.normal(size=(language.BUCKETS + 1, 3)).astype(np.float32)
+    texts = [*odd_texts(40, 5), "", None, "123", "y" * 5000, "Aé b", "Aé b"]
+    got = language.batch_scores(texts, logp)
+    for t, row in zip(texts, got, strict=True):
+        x = language.codes(t) if t else []
+        if not len(x):
+            assert np.isnan(row).all()
+            continue
+        want = logp[-1].astype(float)
+        for n in language.ORDERS:
+            for i in range(len(x) - n + 1):
+                h = n
+                for c in x[i : i + n]:
+                    h = ((h ^ int(c)) * 0x9E3779B1) & 0xFFFFFFFF
+                    h ^= h >> 15
+                want = want + logp[h & (language.BUCKETS - 1)]
+        assert np.allclose(row, want, rtol=1e-4)
