@@ -1,56 +1,39 @@
-"""``python -m longweave VERB``: stages on folders of Parquet tables; text files come in by ``entry``."""
+"""``python -m longweave VERB DATASET ...``: stages on a data set's folder; ``pipeline -p CONFIG`` runs them all."""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import functions as F
-
-from longweave.functions.sequence import parse_si
-from longweave.schema import READ_TYPES
+from longweave.plans import verbs
 from longweave.session import local_session
 
 
-def main(argv: list[str] | None = None) -> None:
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="longweave")
     sub = p.add_subparsers(dest="verb", required=True)
-    for verb, args in {
-        "entry": ["input", "--read_type=CLR"], "mask_repeats": ["--k=12", "--freq=0.001", "--min=10"], "select_chunks": ["--chunk_len=2000", "--take_num=500", "--margin=500", "--exclude=0.8", "--seed=42"],
-        "encode": ["--sim_thr=0.15"], "partition_local": ["--coverage=20"], "assemble": ["output"], "stats": [], "extract": ["output"],
-    }.items():
-        s = sub.add_parser(verb)
+    for name, v in verbs.VERBS.items():
+        s = sub.add_parser(name, help=(v.run.__doc__ or "").split("\n")[0])
         s.add_argument("dataset", help="folder of the data set's tables")
-        for a in args:
-            name, _, default = a.partition("=")
-            s.add_argument(name, default=default) if default else s.add_argument(name)
-    o = p.parse_args(argv)
-    from longweave.operators import masking
-    from longweave.plans import stages
-    from longweave.sources import sequences as Q
-
-    spark, at = local_session(), o.dataset.rstrip("/")
-    table = lambda n: spark.read.parquet(f"{at}/{n}")
-    put = lambda df, n: df.write.mode("overwrite").parquet(f"{at}/{n}")
-    if o.verb == "entry":
-        put(Q.entered(Q.numbered(Q.read_sequences(spark, o.input)), READ_TYPES[o.read_type].homopolymer_cap), "reads")
-    elif o.verb == "mask_repeats":
-        put(masking.soft_masked(table("reads"), masking.mask(table("reads"), int(o.k), float(o.freq), int(o.min)), int(o.k)), "masked_reads")
-    elif o.verb == "select_chunks":
-        c = stages.select_chunks(table("reads"), parse_si(o.chunk_len), parse_si(o.take_num), parse_si(o.margin), exclude=float(o.exclude), seed=int(o.seed))
-        put(c.withColumns({"cluster_num": F.lit(1), "copy_num": F.lit(2), "score": F.lit(0.0)}), "chunks")
-    elif o.verb == "encode":
-        put(stages.encode(table("reads"), table("chunks"), float(o.sim_thr)), "nodes")
-    elif o.verb == "partition_local":
-        n = stages.node_sequences(table("nodes"), table("reads"))
-        put(stages.cluster_locally(n, table("chunks"), float(o.coverage)), "clustered_nodes")
-    elif o.verb == "assemble":
-        contigs, _, _ = stages.assemble(table("nodes"), table("chunks"))
-        Q.write_lines(Q.fasta_lines(spark.createDataFrame(contigs, "name string, seq string")), o.output)
-    elif o.verb == "stats":
-        stages.read_stats(table("reads")).show(truncate=False)
-    elif o.verb == "extract":
-        units = table("chunks").select("chunk", F.length("seq").cast("long").alias("length"), F.col("copy_num").cast("long").alias("copies"))
-        stages.extracted(table("reads"), units).write.mode("overwrite").csv(o.output, sep="\t")
+        for key, default in v.options.items():
+            if isinstance(default, bool):
+                s.add_argument(f"--{key}", action="store_true")
+            else:
+                s.add_argument(f"--{key}", type=type(default), default=default)
+    s = sub.add_parser("pipeline", help="all stages by a configuration file")
+    s.add_argument("-p", "--profile", required=True, help="TOML file")
+    return p
+
+
+def main(argv: list[str] | None = None) -> None:
+    given = vars(parser().parse_args(argv))
+    name = given.pop("verb")
+    spark = local_session()
+    if name == "pipeline":
+        print(verbs.run_pipeline(spark, verbs.Config.read(given["profile"])))
+        return
+    got = verbs.apply(verbs.Store(spark, given.pop("dataset")), name, **given)
+    for key, value in (got or {}).items():
+        print(key, value, sep="\t")
 
 
 if __name__ == "__main__":

@@ -301,26 +301,42 @@ def grouped_consensus(df: DataFrame, keys: list[str], least: int = 1, most: int
     return n.join(draft, same(n, draft)).select(*[n[k] for k in keys], n["n"], draft["seq"])
 
 
+#: Places of a k-mer in the targets up to which it is a seed at once, and that one part of a common one holds.
+RARE, PLACES = 100, 1000
+
+
 def seed_candidates(queries: DataFrame, targets: DataFrame, k: int = 15, least: int = 3, band: int = 64) -> DataFrame:
-    """(query, target, forward, shift, seeds): pairs that share ``least`` k-mers around one diagonal.
+    """(query, target, forward, shift, seeds): places where ``least`` k-mers are shared around one diagonal.
 
-    Both sides are (id, seq). k-mers that are in over a hundred places of the targets are left out as
-    seeds, as they tell repeats and not places. Diagonals fall in overlapping bands, best band first.
+    Both sides are (id, seq). Diagonals fall in bands that half overlap; of those beside one another the
+    one with most seeds counts, so a target that stands in a query several times has a row for each.
+    k-mers in RARE places of the targets or fewer seed all of them. Targets with fewer such places than
+    others, e.g. of repeats only, are seeded by all their k-mers. Common k-mers are met in parts of
+    PLACES, so no task holds all places of one.
     """
     from longweave.functions.sequence import reverse_complement
     from longweave.operators.masking import kmer_rows
 
     own = lambda df, name, s: kmer_rows(df.select("id", s.alias("seq")), k, "id").withColumnsRenamed({"id": name, "at": f"{name}_at"})
-    t = own(targets, "target", F.col("seq"))
-    rare = t.groupBy("kmer").agg(F.count("*").alias("n")).where("n <= 100").select("kmer")
-    t = t.join(rare, "kmer")
+    t = saved(own(targets, "target", F.col("seq")), "kmers")
+    n = saved(t.groupBy("kmer").agg(F.count("*").alias("n")), "places")
+    many = n.where(F.col("n") > RARE)
+    common = t.join(many.select("kmer"), "kmer", "left_semi").groupBy("target").agg(F.count("*").alias("common"))
+    poor = t.groupBy("target").agg(F.count("*").alias("all")).join(common, "target").where("2 * common > all").select("target")
+    rare = t.join(many.select("kmer"), "kmer", "left_anti")
+    seeds = rare.unionByName(t.join(many.select("kmer"), "kmer", "left_semi").join(poor, "target", "left_semi"))
+    hot = F.broadcast(n.where(F.col("n") > PLACES).select("kmer", F.ceil(F.col("n") / PLACES).cast("int").alias("parts")))  # a thousandth of the places at most
+    seeds = seeds.join(hot, "kmer", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("target", "target_at"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
     ahead = own(queries, "query", F.col("seq")).withColumn("forward", F.lit(True))
     back = own(queries, "query", reverse_complement(F.col("seq"))).withColumn("forward", F.lit(False))
-    hit = ahead.unionByName(back).join(t, "kmer").where("query <> target").withColumn("d", F.col("query_at") - F.col("target_at"))
-    bands = hit.withColumn("b", F.explode(F.array(F.floor(F.col("d") / band), F.floor(F.col("d") / band + 0.5) + F.lit(0.5))))
-    n = bands.groupBy("query", "target", "forward", "b").agg(F.count("*").alias("seeds"), F.expr("sum(d) div count(*)").alias("shift"))
-    best = n.groupBy("query", "target", "forward").agg(F.max(F.struct("seeds", F.negate(F.abs("shift")).alias("near"), "shift")).alias("x"))
-    return best.where(F.col("x.seeds") >= least).select("query", "target", "forward", "x.shift", "x.seeds")
+    q = ahead.unionByName(back).join(hot, "kmer", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    hit = q.join(seeds, ["kmer", "part"]).where("query <> target").withColumn("d", F.col("query_at") - F.col("target_at"))
+    bands = hit.withColumn("b", F.explode(F.array(F.floor(F.col("d") / band).cast("double"), F.floor(F.col("d") / band + 0.5) + F.lit(0.5))))
+    n = bands.groupBy("query", "target", "forward", "b").agg(F.count("*").alias("seeds"), F.expr("sum(d) div count(*)").alias("shift")).where(F.col("seeds") >= least)
+    along = Window.partitionBy("query", "target", "forward").orderBy("b")
+    beside = lambda f, gap: F.coalesce(F.when(F.abs(f("b").over(along) - F.col("b")) <= 0.5, f("seeds").over(along)), F.lit(gap))
+    best = n.withColumn("x", beside(F.lag, 0)).withColumn("y", beside(F.lead, 0)).where("seeds > x AND seeds >= y")
+    return best.select("query", "target", "forward", "shift", "seeds")
 
 
 def mapped(reads: DataFrame, chunks: DataFrame, sim_thr: float, k: int = 15, least: int = 3, slack: int = 100) -> DataFrame:
@@ -350,7 +366,7 @@ def mapped(reads: DataFrame, chunks: DataFrame, sim_thr: float, k: int = 15, lea
             cols = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, kinds, strict=True)], names)
 
-    return c.mapInArrow(run, "read_id long, chunk long, pos long, end long, is_forward boolean, cigar string")
+    return c.mapInArrow(run, "read_id long, chunk long, pos long, end long, is_forward boolean, cigar string").dropDuplicates(["read_id", "chunk", "pos", "end", "is_forward"])
 
 
 def differences(df: DataFrame) -> DataFrame:

@@ -137,6 +137,28 @@ def contracted(g_nodes: DataFrame, g_edges: DataFrame) -> tuple[DataFrame, DataF
     return p, e.where("path_a <> path_b").groupBy("path_a", "path_b").agg(F.sum("occ").alias("occ"))
 
 
+def contracted_ports(g_nodes: DataFrame, g_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members: node, path; paths: path, n, occ; links: a, a_head, b, b_head, occ): simple paths as bidirected nodes.
+
+    A path's ends are the ports of its nodes that no edge inside it uses: the lesser one is its head.
+    ``occ`` of a path is the rounded mean of its nodes'; links come once, in one direction.
+    """
+    one = g_edges.withColumn("d", F.count("*").over(Window.partitionBy("a", "a_head")))
+    far = one.groupBy(F.col("a").alias("b"), F.col("a_head").alias("b_head")).agg(F.first("d").alias("db"))
+    inner = saved(one.where("d = 1").join(far, ["b", "b_head"]).where("db = 1 AND a <> b").select("a", "a_head", "b", "b_head"), "inner")
+    members = saved(components(g_nodes, inner).withColumnRenamed("component", "path"), "paths")
+    paths = g_nodes.join(members, "node").groupBy("path").agg(F.count("*").alias("n"), F.round(F.avg("occ")).cast("long").alias("occ"))
+    ports = members.select("path", "node", F.explode(F.array(F.lit(False), F.lit(True))).alias("head"))
+    used = inner.select(F.col("a").alias("node"), F.col("a_head").alias("head"))
+    # a path has two ends at most; those of one node are its own head and tail
+    ends = ports.join(used, ["node", "head"], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("node", F.desc("head"))))
+    ends = saved(ends.select("node", "head", "path", (F.col("r") == 1).alias("side")), "ends")
+    of = lambda x: ends.select(F.col("node").alias(x), F.col("head").alias(f"{x}_head"), F.col("path").alias(f"p{x}"), F.col("side").alias(f"s{x}"))
+    e = g_edges.join(of("a"), ["a", "a_head"]).join(of("b"), ["b", "b_head"])
+    links = e.select(F.col("pa").alias("a"), F.col("sa").alias("a_head"), F.col("pb").alias("b"), F.col("sb").alias("b_head"), "occ")
+    return members, paths, links.where("struct(a, a_head) <= struct(b, b_head)")
+
+
 def starts(g_nodes: DataFrame, g_edges: DataFrame) -> DataFrame:
     """(node, head): ports that nothing leads to, where walks begin."""
     ports = g_nodes.select("node", F.explode(F.array(F.lit(True), F.lit(False))).alias("head"))

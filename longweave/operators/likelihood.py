@@ -180,3 +180,51 @@ def phased(reads: list[str], template: str, coverage: float, most: int = 4, seed
         best, score = labels, s
     order = np.argsort(-np.bincount(best), kind="stable")
     return np.argsort(order)[best], score
+
+
+def minimum_gain(rates: Rates, seeds: int = 1000, reads: int = 500, length: int = 100, nth: int = 3, seed: int = 0) -> float:
+    """The ``nth`` least of the median gains of simulated single-base variants, 1 at least."""
+    rng = np.random.default_rng(seed)
+    medians = []
+    for _ in range(seeds):
+        t = "".join(BASES[i] for i in rng.integers(0, 4, length))
+        at, kind = int(rng.integers(length)), ("sub", "ins", "del")[rng.integers(3)]
+        base = BASES[(BASES.index(t[at]) + rng.integers(1, 4)) % 4]
+        v = edited(t, at, kind, "" if kind == "del" else base)
+        gains = [log_likelihood(r, v, rates) - log_likelihood(r, t, rates) for r in (with_errors(v, rates, rng) for _ in range(reads))]
+        medians.append(sorted(gains)[reads // 2])
+    return max(1.0, sorted(medians)[min(nth, seeds) - 1])
+
+
+#: Copies from which on a chunk is clustered in steps, and the most clusters of a step; fixed values.
+MANY_COPIES, STEP_CLUSTERS = 8, 4
+
+
+def phased_in_steps(reads: list[str], template: str, coverage: float, copies: int, seed: int = 0, rates: Rates | None = None) -> tuple[np.ndarray, float]:
+    """(labels, score) of a chunk of any number of copies.
+
+    From MANY_COPIES on reads are split into STEP_CLUSTERS clusters at most, the copies are allotted to
+    those by size, and each is clustered by itself along its own consensus.
+    """
+    from longweave.operators.align import consensus
+    from longweave.operators.cluster import allotted
+
+    if copies < 2 or len(reads) < 2:
+        return np.zeros(len(reads), dtype=int), 0.0
+    if copies < MANY_COPIES:
+        return phased(reads, template, coverage, copies, seed, rates)
+    first, score = phased(reads, template, coverage, STEP_CLUSTERS, seed, rates)
+    k = int(first.max()) + 1
+    if k < 2:
+        return first, score
+    share = allotted(np.bincount(first, minlength=k).astype(float), copies)
+    labels, used = np.zeros(len(reads), dtype=int), 0
+    for c in range(k):
+        at = np.nonzero(first == c)[0]
+        own = [reads[i] for i in at]
+        sub, more = phased_in_steps(own, consensus(own) or template, coverage, int(share[c]), seed + c + 1, rates)
+        labels[at] = sub + used
+        used += int(sub.max()) + 1
+        score += more
+    order = np.argsort(-np.bincount(labels), kind="stable")
+    return np.argsort(order)[labels], score

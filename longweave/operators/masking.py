@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from longweave.session import saved
+
 from longweave.functions.stats import picked
 
 _CODE = np.zeros(256, dtype=np.uint64)
@@ -75,7 +77,7 @@ def mask_threshold(counts: DataFrame, freq: float, least: int) -> int:
 
 def mask(reads: DataFrame, k: int, freq: float = 0.001, least: int = 10) -> DataFrame:
     """(kmer, n): the masked k-mers."""
-    counts = kmer_counts(reads, k).cache()
+    counts = saved(kmer_counts(reads, k), "kmers")
     above = mask_threshold(counts, freq, least)
     return counts.where(F.col("n") > max(1, above))
 
@@ -120,28 +122,36 @@ def repetitiveness(reads: DataFrame, masked: DataFrame, k: int) -> DataFrame:
 
 
 def soft_masked(reads: DataFrame, masked: DataFrame, k: int) -> DataFrame:
-    """``reads`` with what masked k-mers cover in lower case. The mask is broadcast within BROADCAST_KMERS."""
-    n = masked.count()
-    if n > BROADCAST_KMERS:
-        raise ValueError(f"{n} masked k-mers; raise the threshold or BROADCAST_KMERS")
-    kept = reads.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in masked.select("kmer").toLocalIterator()], dtype=np.uint64)))
-    at = reads.columns.index("seq")
+    """``reads`` with what masked k-mers cover in lower case.
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for s in batch.column(at).to_pylist():
-                hit = np.isin(codes(s, k), kept.value, assume_unique=False)
-                cover = np.zeros(len(s or "") + 1, dtype=np.int64)
-                where = np.nonzero(hit)[0]
-                np.add.at(cover, where, 1)
-                np.add.at(cover, where + k, -1)
-                x = np.frombuffer((s or "").encode("latin-1", "replace"), np.uint8).copy()
-                x[np.cumsum(cover[:-1]) > 0] |= 0x20
-                out.append(x.tobytes().decode("latin-1") if s is not None else None)
-            yield batch.set_column(at, "seq", pa.array(out, pa.string()))
+    The mask is broadcast in blocks of BROADCAST_KMERS, a pass over the reads for each.
+    """
+    at = reads.columns.index("seq")
+    blocks = max(1, -(-masked.count() // BROADCAST_KMERS))
+    for block in range(blocks):
+        own = masked.select("kmer") if blocks == 1 else masked.select("kmer").where(F.pmod(F.xxhash64("kmer"), F.lit(blocks)) == block)
+        kept = reads.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in own.toLocalIterator()], dtype=np.uint64)))
 
-    return reads.mapInArrow(run, reads.schema)
+        def run(batches, kept=kept):
+            mask_ = kept.value
+            for batch in batches:
+                out = []
+                for s in batch.column(at).to_pylist():
+                    own = codes(s, k)
+                    found = np.searchsorted(mask_, own)
+                    hit = found < len(mask_)
+                    hit[hit] = mask_[found[hit]] == own[hit]
+                    cover = np.zeros(len(s or "") + 1, dtype=np.int64)
+                    where = np.nonzero(hit)[0]
+                    cover[where] += 1  # each place once
+                    cover[where + k] -= 1
+                    x = np.frombuffer((s or "").encode("latin-1", "replace"), np.uint8).copy()
+                    x[np.cumsum(cover[:-1]) > 0] |= 0x20
+                    out.append(x.tobytes().decode("latin-1") if s is not None else None)
+                yield batch.set_column(at, "seq", pa.array(out, pa.string()))
+
+        reads = reads.mapInArrow(run, reads.schema)
+    return reads
 
 
 def recovered_mask(reads: DataFrame, k: int) -> DataFrame:
@@ -151,7 +161,8 @@ def recovered_mask(reads: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             found = []
             for s in batch.column(0).to_pylist():
-                low = np.array([c.islower() for c in s or ""], dtype=np.int64)
+                x = np.frombuffer((s or "").encode("latin-1", "replace"), np.uint8)
+                low = ((x >= 97) & (x <= 122)).astype(np.int64)
                 if len(low) >= k:
                     found.append(codes(s, k)[np.convolve(low, np.ones(k, np.int64), "valid") == k])
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64))], ["kmer"])
@@ -160,8 +171,19 @@ def recovered_mask(reads: DataFrame, k: int) -> DataFrame:
 
 
 def kmer_entropies(reads: DataFrame, k: int) -> DataFrame:
-    """(read_id, entropy): entropy in nats of a read's k-mer frequencies; 0 for a sequence shorter than k."""
-    n = kmer_rows(reads, k).groupBy("read_id", "kmer").agg(F.count("*").alias("n"))
-    total = n.groupBy("read_id").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    e = total.select("read_id", (F.log("all") - F.col("s") / F.col("all")).alias("entropy"))
-    return reads.select("read_id").join(e, "read_id", "left").select("read_id", F.coalesce("entropy", F.lit(0.0)).alias("entropy"))
+    """(read_id, entropy): entropy in nats of a read's k-mer frequencies; 0 for a sequence shorter than k. Counted in place, without a shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for s in batch.column(1).to_pylist():
+                x = np.frombuffer((s or "").encode("utf-32-le"), np.uint32)
+                if len(x) < k:
+                    out.append(0.0)
+                    continue
+                rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, k))
+                n = np.unique(rows.view(np.dtype((np.void, 4 * k))).ravel(), return_counts=True)[1]
+                out.append(float(np.log(n.sum()) - (n * np.log(n)).sum() / n.sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["read_id", "entropy"])
+
+    return reads.select("read_id", "seq").mapInArrow(run, f"read_id {dict(reads.dtypes)['read_id']}, entropy double")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from longweave.functions.sequence import cap_homopolymers
+from longweave.session import saved
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -40,9 +41,15 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(records: DataFrame) -> DataFrame:
-    """``records`` with read_id dense from 0, in the order in which they were read."""
-    schema = "read_id long, " + ", ".join(f"`{n}` {t}" for n, t in records.dtypes)
-    return records.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(schema)
+    """``records`` with read_id dense from 0, in the order in which they were read.
+
+    Rows are written once with their partition and place in it; a row for each partition gives the
+    offsets. Sequences stay in the JVM.
+    """
+    placed = saved(records.select(F.spark_partition_id().alias("__part"), (F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias("__at"), "*"), "records")
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("n"))
+    start = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))  # a row for each partition
+    return placed.join(F.broadcast(start), "__part").select((F.col("__start") + F.col("__at")).cast("long").alias("read_id"), *records.columns)
 
 
 def entered(reads: DataFrame, cap: int = 100) -> DataFrame:
