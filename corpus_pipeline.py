@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longweave.llm import bpe, decontaminate, line_dedup, simhash, toxicity
-from longweave.llm.common import table
+from longweave.llm.common import fresh, table
 from longweave.llm.queries import tokenizer_path
 
 
@@ -17,7 +17,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of each source go; every document stays, with its new length."""
-    out = line_dedup.without_boilerplate(docs)
+    aside = fresh(docs, "__lw_lines_dropped")[0]
+    own = docs.withColumnsRenamed({"lines_dropped": aside})
+    out = line_dedup.without_boilerplate(own).drop("lines_dropped").withColumnsRenamed({aside: "lines_dropped"})
     cols = [F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*cols)
 

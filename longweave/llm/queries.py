@@ -74,6 +74,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    """All of them; a module or library that one needs and that isn't there is an ImportError here and not when it runs."""
+    from longweave.llm import bpe, decontaminate, embeddings, language, line_dedup, pii, sharding, simhash, token_counts, toxicity  # noqa: F401
+
     own = globals()
     return {k: own[k] for k in sorted((k for k in own if k.startswith("op")), key=lambda k: int(k[2:].split("_")[0]))}
 

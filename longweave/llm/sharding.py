@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from longweave.llm.common import fresh
 from longweave.session import saved
 
 #: Bits of the hash, and bits that a round looks at. A round's sums are at most 2**STEP for a bucket.
@@ -65,13 +66,20 @@ def assigned(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """Write whole rows of ``docs`` below ``path``, a folder ``shard=<bits>`` for each shard ('root' if there is one)."""
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    where = assigned(docs, limit).select(F.col("depth").alias("__lw_d"), F.col("prefix").alias("__lw_p"), F.when(F.col("shard") == "", "root").otherwise(F.col("shard")).alias("shard")).distinct()
+    where = assigned(docs, limit).select("depth", "prefix", F.when(F.col("shard") == "", "root").otherwise(F.col("shard")).alias("shard")).distinct()
     where = saved(where, "shards")
-    depths = [r[0] for r in where.select("__lw_d").distinct().collect()] or [0]
+    few = where.count() <= BROADCAST_ROWS
     h = F.conv(F.substring(F.md5(key), 1, BITS // 4), 16, 10).cast("long")
-    rows = docs.drop("shard").withColumn("__lw_h", h).withColumn("__lw_d", F.explode(F.array(*[F.lit(d) for d in depths])))
-    rows = rows.withColumn("__lw_p", F.expr(f"shiftright(__lw_h, {BITS} - __lw_d)")).join(where, ["__lw_d", "__lw_p"])
-    rows = rows.drop("__lw_h", "__lw_d", "__lw_p")
+    at, prefix, found = *fresh(docs, "__lw_h", "__lw_prefix"), []
+    rows = docs.drop("shard").withColumn(at, h)
+    for depth in sorted(r[0] for r in where.select("depth").distinct().collect()):  # BITS + 1 depths at most; a row is in one shard
+        name = fresh(rows, f"__lw_s{depth}")[0]
+        own = where.where(F.col("depth") == depth).select(F.col("prefix").alias(prefix), F.col("shard").alias(name))
+        rows = rows.join(F.broadcast(own) if few else own, F.expr(f"shiftright(`{at}`, {BITS} - {depth})") == F.col(prefix), "left").drop(prefix)
+        found.append(name)
+    if not found:
+        return
+    rows = rows.withColumn("shard", F.coalesce(*found)).drop(at, *found)
     rows.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.partitionBy("shard").parquet(path)
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longweave.llm.common import as_bytes, beside, dealt_to_cells, forest, merged, small_batches, tidy, words_of
+from longweave.llm.common import as_bytes, beside, dealt_to_cells, forest, fresh, merged, small_batches, tidy, words_of
 from longweave.operators.components import connected_components
 from longweave.operators.joins import salted_join
 from longweave.session import saved
@@ -302,7 +302,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, radiu
 
 
 def grouped(docs: DataFrame, threshold: float, k: int, radius: int) -> DataFrame:
-    """(doc_id, text_key, component_id): :func:`similar_documents` by text; no component without words or id.
+    """(doc_id, text_key, component, component_id): :func:`similar_documents` by text; no component without words or id.
 
     A node is a text and not a doc_id, so rows that share an id but not a text are apart.
     """
@@ -319,9 +319,8 @@ def grouped(docs: DataFrame, threshold: float, k: int, radius: int) -> DataFrame
     comp = connected_components(true)
     of = saved(nodes.join(comp, "node", "left").select("text_key", "least", F.coalesce("component", "node").alias("component")), "components")
     first = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_text = of.join(first, "component").select("text_key", "component_id")
-    out = prints.join(by_text, "text_key", "left").select("doc_id", "text_key", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    return out
+    by_text = of.join(first, "component").select("text_key", "component", "component_id")
+    return prints.join(by_text, "text_key", "left").select("doc_id", "text_key", "component", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, k: int = 5, radius: int = 38) -> DataFrame:
@@ -332,32 +331,33 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, k: int = 5, radius: int
     their own. If two rows of a group have its smallest doc_id, the one whose text hashes less stays.
     Very long texts are hashed as a whole. Columns may have any names; an empty table gives no rows.
     """
+    at, key, best = fresh(docs, "__lw_id", "__lw_key", "__lw_best")
     groups = saved(grouped(docs, threshold, k, radius).where("component_id IS NOT NULL"), "groups")
-    gone = saved(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__lw_id")).distinct(), "gone")
-    twice = saved(groups.groupBy(F.col("doc_id").alias("__lw_id")).agg(F.count("*").alias("n")).where("n > 1").select("__lw_id"), "twice")
-    own = F.col("doc_id").cast("long") == F.col("__lw_id")
+    gone = saved(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(at)).distinct(), "gone")
+    twice = saved(groups.groupBy(F.col("doc_id").alias(at)).agg(F.count("*").alias("n")).where("n > 1").select(at), "twice")
+    own = F.col("doc_id").cast("long") == F.col(at)
     if not twice.limit(1).count():
         return docs.join(beside(gone), own, "left_anti")
     once = docs.join(beside(gone.unionByName(twice).distinct()), own, "left_anti")
-    best = groups.where("doc_id = component_id").groupBy("component_id").agg(F.min("text_key").alias("text_key")).select(F.col("component_id").alias("__lw_id"), F.col("text_key").alias("__lw_best"))
-    again = with_text_key(docs.join(beside(twice), own, "left_semi"))
-    worded = again.where("__lw_key IS NOT NULL")
-    kept = worded.join(best, own & (F.col("__lw_key") == F.col("__lw_best")), "left_semi").dropDuplicates(["doc_id", "__lw_key"])
-    return once.unionByName(kept.drop("__lw_key")).unionByName(again.where("__lw_key IS NULL").drop("__lw_key"))
+    first = groups.where("doc_id = component_id").groupBy("component", "component_id").agg(F.min("text_key").alias(best)).select(F.col("component_id").alias(at), best)
+    again = with_text_key(docs.join(beside(twice), own, "left_semi"), key)
+    worded = again.where(F.col(key).isNotNull())
+    kept = worded.join(first, own & (F.col(key) == F.col(best)), "left_semi").dropDuplicates(["doc_id", key])
+    return once.unionByName(kept.drop(key)).unionByName(again.where(F.col(key).isNull()).drop(key))
 
 
-def with_text_key(docs: DataFrame) -> DataFrame:
-    """``docs`` and ``__lw_key``, the hash of a text's words; null without any."""
+def with_text_key(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` and column ``name``, the hash of a text's words; null without any."""
     from pyspark.sql import types as T
 
     small_batches(docs.sparkSession)
-    at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField("__lw_key", T.BinaryType())])
+    at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [words_of(t) for t in as_bytes(batch.column(at))]
             keys = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "__lw_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, name])
 
     return docs.mapInArrow(tidy(run), schema)
 

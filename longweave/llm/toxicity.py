@@ -2,10 +2,12 @@
 
 The kernel compares two strings by the subsequences of three characters that they share, each weighed
 down by the gaps it spans, so an insult with letters left out or characters put in between stays close
-to the insult. A sentence's strings are its words and runs of single letters; the sentence scores as its
-worst string and the document as its worst sentence. Labels belong to documents and so to their
-sentences, copies left out: training takes as bearers of the label the strings that are in more toxic
-sentences than chance explains and in hardly any clean one, and all strings of clean ones as clean.
+to the insult. A labelled sentence is a bag of strings: its words, runs of single letters, and short
+words beside one another with the gap between them. It scores as its worst string and the document as
+its worst sentence. Training goes from sentences to strings and back: the first machine takes as
+bearers of the label the strings that are in more toxic sentences than chance explains and in hardly
+any clean one, and all strings of clean sentences as clean; the second takes in the worst string of
+each toxic document that the first one finds. Labels belong to documents, copies left out.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ BEARERS, CLEAN = 4000, 120_000
 #: Clean strings that a machine is fitted on at once: the commonest, and those it errs on most.
 FITTED = 12_000
 LANDMARKS, RIDGE, POWER = 320, 1e-4, 0.5
+#: Strings of either kind that landmarks are chosen among, and bearers that are taken where chance explains all.
+POOL, FALLBACK = 800, 20
 #: A subsequence's span in characters, and its loss of weight for each character of a gap.
 SPAN, DECAY = 6, 0.6
 #: Strings longer than this are met in windows, half overlapping.
@@ -43,7 +47,7 @@ _SYMBOLS, _FEATURES = 64, 1 << 16
 _STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _EDGE = re.compile(r"^[^\w@$]+|[\W_]+$")
 _SIGNS = re.compile(r"[\W_]+")
-_SINGLES = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
 
 
@@ -71,9 +75,20 @@ def windows(unit: str) -> list[str]:
     return [unit[i : i + LONGEST] for i in range(0, len(unit) - LONGEST // 2, LONGEST // 2)]
 
 
+#: Letters of the longest words that are met together with those beside them.
+FRAGMENT = 3
+
+
+def fragments(words: list[str]) -> set[str]:
+    """Two or three short words beside one another as one string; a tab, which no word has, is the gap."""
+    two = {f"{a}\t{b}" for a, b in zip(words, words[1:], strict=False) if len(a) <= FRAGMENT and len(b) <= FRAGMENT and len(a) + len(b) > FRAGMENT}
+    return two | {f"{a}\t{b}\t{c}" for a, b, c in zip(words, words[1:], words[2:], strict=False) if len(b) <= FRAGMENT and len(a) <= FRAGMENT and len(c) <= FRAGMENT and len(a) + len(b) + len(c) > FRAGMENT}
+
+
 def strings(sentence: str) -> list[str]:
-    """The strings of a sentence: its words without edging signs, and runs of single letters joined."""
-    out = [_EDGE.sub("", w) for w in sentence.lower().split()]
+    """The strings of a sentence: its words without edging signs, runs of single letters joined, and short words together."""
+    words = sentence.lower().split()
+    out = [_EDGE.sub("", w) for w in (*words, *fragments(words))]
     out += ["".join(m[0].split()) for m in _SINGLES.finditer(sentence.lower())]
     return [u for u in out if len(u) > 2]
 
@@ -177,7 +192,7 @@ class Scorer:
         units, owner = [], []
         for k, w in enumerate(words):
             u = _EDGE.sub("", w)
-            for v in {u, _SIGNS.sub("", u)}:  # with and without signs put in between
+            for v in {u} if "\t" in u else {u, _SIGNS.sub("", u)}:  # with and without signs put in between
                 for x in windows(v) if len(v) > 2 else ():
                     units.append(x)
                     owner.append(k)
@@ -197,7 +212,8 @@ class Scorer:
         out = []
         for text in texts:
             low = (text or "").lower()
-            words = set(low.split())
+            own = low.split()
+            words = set(own) | fragments(own)
             words.update("".join(m[0].split()) for m in _SINGLES.finditer(low))
             get, best, new = self.kept.get, -3.0, []
             for w in words:
@@ -279,7 +295,7 @@ def _landmarks(bad: list[str], good: list[str]) -> list[str]:
     The first quarter are the clean strings that come first, so those that are hardest to tell.
     """
     out: list[str] = []
-    for own, first in ((bad[:800], 1), (good[:800], LANDMARKS // 4)):
+    for own, first in ((bad[:POOL], 1), (good[:POOL], LANDMARKS // 4)):
         if not own:
             continue
         near = kernel(own, own)
@@ -322,6 +338,24 @@ def fitted(bearers: dict[str, int], clean: dict[str, int]) -> Model:
     return model
 
 
+def witnesses(toxic: DataFrame, model: Model) -> dict[str, int]:
+    """The worst string of each toxic text that the machine finds toxic, and of how many texts it is; a row for a text at most."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                units = sorted({x for s in _SENTENCE.split(text) for u in strings(s) for x in windows(u)})
+                if units:
+                    m = model.margins(units)
+                    if m.max() > 0:
+                        out.append(units[int(m.argmax())])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["unit"])
+
+    rows = toxic.mapInArrow(tidy(run), "unit string").groupBy("unit").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "unit").collect()
+    return {r["unit"]: r["n"] for r in rows}
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
     """The model; without a toxic and a clean document to learn from, one that scores all texts alike."""
     sample = saved(_sampled(docs, labels), "labelled")
@@ -338,8 +372,10 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     # chance alone gives strings of one label too: keep those that it hardly explains
     rate, tried = np.log(both["t"] / (both["t"] + both["c"])), np.log(len(few) + len(clean))
     sure = {r["unit"]: r["toxic"] for r in few if r["toxic"] * rate + tried < (-1.5 if r["clean"] == 0 else -6.0)}
-    bearers = sure or {r["unit"]: r["toxic"] for r in few[:20]}
+    bearers = sure or {r["unit"]: r["toxic"] for r in few[:FALLBACK]}
     model = fitted(bearers, clean)
+    seen = {u: n for u, n in witnesses(sample.where("toxic = 1").select("text"), model).items() if u not in clean}
+    model = fitted(dict(sorted((seen | bearers).items(), key=lambda x: (-x[1], x[0]))), clean)
 
     def worst(batches):
         scorer = Scorer(model)
@@ -387,7 +423,11 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose score is ``threshold`` or more; other rows stay as they are."""
+    """``docs`` without the rows whose score is ``threshold`` or more; other rows stay as they are.
+
+    Null and empty texts stay; very long ones are scored as a whole, repeated rows alike. Columns may
+    have any names but ``text`` and ``doc_id``; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels))
     at = docs.columns.index("text")
