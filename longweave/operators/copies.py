@@ -259,34 +259,46 @@ def tree_cycles(n: int, edges: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def spanning_tree_copies(weights: list[float], ports: list[tuple[int, int]], coverage: float, steps: int = 4000, seed: int = 7) -> np.ndarray:
-    """Copies of edges between places (ports) by moves of one unit around cycles of a spanning tree, under falling heat.
+def _signed(way: list[int], inside: list[bool], n: int) -> np.ndarray | None:
+    """A move of one unit around a cycle of elements: what enters a place by one kind leaves by the other, or the sign turns; None if that doesn't close."""
+    own, free = way, False
+    for i, k in enumerate(way):
+        if k >= n and way[i - 1] >= n:  # two joints of ends in a row: between them anything goes
+            own, free = (way[i + 1 :] + way[: i - 1] if i else way[1:-1]), True
+    step, sign = np.zeros(n, dtype=int), 1
+    for i, k in enumerate(own):
+        if i and inside[k] == inside[own[i - 1]]:
+            sign = -sign
+        step[k] += sign
+    if not free and len(own) > 1 and (sign if inside[own[0]] != inside[own[-1]] else -sign) != 1:
+        return None
+    return step
+
+
+def spanning_tree_copies(weights: list[float], places: list[tuple[int, int]], inside: list[bool], coverage: float, steps: int = 4000, seed: int = 7) -> np.ndarray:
+    """Copies of elements between places (ports) by moves of one unit around cycles of a spanning tree, under falling heat.
 
-    weights: of the edges; ports: the two places of each. A place with one edge is an end and joined to
-    all others, so a way from end to end is a cycle too.
+    Elements are nodes (``inside``, between their two ports) and edges (between ports of nodes), with
+    their weights and places. Moves keep the sum of the edges at a port equal to its node's copies. A
+    place with one element is an end and joined to all others, so a way from end to end is a cycle too.
     """
     w = np.asarray(weights, float)
-    places = sorted({p for e in ports for p in e})
-    at = {p: i for i, p in enumerate(places)}
-    n = len(places)
-    degree = np.bincount([at[p] for e in ports for p in e], minlength=n)
-    order = sorted(range(len(ports)), key=lambda k: (-w[k], k))
-    edges = [(at[ports[k][0]], at[ports[k][1]]) for k in order] + [(i, n) for i in range(n) if degree[i] == 1]
-    cycles = tree_cycles(n, edges)
-    c = np.zeros(len(ports), dtype=int)
-    if not cycles:
-        return c
+    names = sorted({p for e in places for p in e})
+    at = {p: i for i, p in enumerate(names)}
+    n, m = len(names), len(places)
+    degree = np.bincount([at[p] for e in places for p in e], minlength=n)
+    order = sorted(range(m), key=lambda k: (-w[k], k))
+    edges = [(at[places[k][0]], at[places[k][1]]) for k in order] + [(i, n) for i in range(n) if degree[i] == 1]
     moves = []
-    for way in cycles:
-        step = np.zeros(len(ports), dtype=int)
-        for k in way:
-            if k < len(order):
-                step[order[k]] += 1
-        moves.append(step)
+    for way in tree_cycles(n, edges):
+        step = _signed([order[k] if k < m else k for k in way], inside, m)
+        if step is not None and step.any():
+            moves.append(step)
+    c = np.zeros(m, dtype=int)
     rng = np.random.default_rng(seed)
     now = tree_penalty(w, c, coverage)
     best, kept = now, c.copy()
-    for t in range(steps):
+    for t in range(steps if moves else 0):
         new = c + moves[rng.integers(len(moves))] * (1 if rng.random() < 0.5 else -1)
         if (new < 0).any():
             continue

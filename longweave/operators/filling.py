@@ -176,14 +176,14 @@ def gap_sequences(nodes: DataFrame, reads: DataFrame, least_gap: int, edges: Dat
         e = e.join(F.broadcast(edges) if edges.count() <= 1_000_000 else edges, ["u", "u_forward", "v", "v_forward"], "left_semi")
     part = F.substring("__read", (F.col("start") + 1).cast("int"), F.col("offset").cast("int"))
     e = e.join(reads.select("read_id", F.col("seq").alias("__read")), "read_id")
-    return e.withColumn("seq", F.when(F.col("flipped"), reverse_complement(part)).otherwise(part)).select("u", "u_forward", "v", "v_forward", "read_id", "idx", "flipped", "start", "seq")
+    return e.withColumn("seq", F.upper(F.when(F.col("flipped"), reverse_complement(part)).otherwise(part))).select("u", "u_forward", "v", "v_forward", "read_id", "idx", "flipped", "start", "seq")
 
 
 def tip_sequences(nodes: DataFrame, reads: DataFrame, least_gap: int, take: int) -> DataFrame:
     """(u, u_tail, read_id, start, flipped, seq): up to ``take`` bases that reads have past their first and last node, away from it."""
     own = Window.partitionBy("read_id")
     e = nodes.select("read_id", "idx", "chunk", "is_forward", "pos", (F.col("pos") + F.col("len")).alias("end"), F.min("idx").over(own).alias("first"), F.max("idx").over(own).alias("last"))
-    n = reads.select("read_id", F.col("seq").alias("__read"), F.length("seq").cast("long").alias("total"))
+    n = reads.select("read_id", F.upper("seq").alias("__read"), F.length("seq").cast("long").alias("total"))
     j = e.where("idx = first OR idx = last").join(n, "read_id")
     tail = j.where("idx = last").where(F.col("total") - F.col("end") >= least_gap).select("read_id", F.col("chunk").alias("u"), F.col("is_forward").alias("u_tail"), F.col("end").alias("start"), F.lit(False).alias("flipped"), F.expr(f"substring(__read, int(end) + 1, int(least(total - end, {take})))").alias("seq"))
     head = j.where("idx = first").where(F.col("pos") >= least_gap).select("read_id", F.col("chunk").alias("u"), (~F.col("is_forward")).alias("u_tail"), F.greatest(F.col("pos") - take, F.lit(0)).alias("start"), F.lit(True).alias("flipped"), reverse_complement(F.expr(f"substring(__read, int(greatest(pos - {take}, 0)) + 1, int(least(pos, {take})))")).alias("seq"))

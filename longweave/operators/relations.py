@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longweave.operators import cluster
-from longweave.operators.align import posterior_overlap
 from longweave.operators.joins import cluster_correlation
 from longweave.session import saved
 
@@ -106,29 +105,56 @@ def same_cluster(x: np.ndarray, y: np.ndarray, copies: np.ndarray) -> float:
     return 80.0 if p > -1.8e-35 else float(p - np.log1p(-np.exp(p)))
 
 
+#: Most that one pair of nodes says for or against one cluster, as a logit.
+EVIDENCE = 10.0
+
+
+def matched(x: list[dict], y: list[dict]) -> list[tuple[int, int]]:
+    """Pairs of places of two contexts that have the same chunk and strand, in order: a longest common subsequence."""
+    same = [[a["chunk"] == b["chunk"] and a["forward"] == b["forward"] for b in y] for a in x]
+    best = np.zeros((len(x) + 1, len(y) + 1), dtype=int)
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            best[i, j] = max(best[i + 1, j], best[i, j + 1], best[i + 1, j + 1] + 1 if same[i][j] else 0)
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        if same[i][j] and best[i, j] == best[i + 1, j + 1] + 1:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1, j] >= best[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def recontexted(rows: list[dict], k: int, copies: dict[int, np.ndarray], seed: int = 0) -> np.ndarray:
-    """Labels of a chunk's nodes (rows of :func:`contexts`) by spectral clustering of how alike they and their surroundings are."""
+    """Labels of a chunk's nodes (rows of :func:`contexts`) by spectral clustering of how alike they and their surroundings are.
+
+    Surroundings are matched by their chunks; each pair matched says by its posteriors whether two reads
+    are of one cluster, EVIDENCE at most.
+    """
     one = np.ones(1)
 
-    def pair(x, y) -> float:
-        if x["chunk"] != y["chunk"] or x["forward"] != y["forward"]:
-            return -1e6
-        a, b = np.array(x["posterior"]), np.array(y["posterior"])
-        c = copies.get(x["chunk"], one)
+    def told(chunk: int, x, y) -> float:
+        a, b = np.array(x), np.array(y)
+        c = copies.get(chunk, one)
         n = min(len(a), len(b), len(c))
-        return same_cluster(a[:n] - cluster.logsumexp(a[:n]), b[:n] - cluster.logsumexp(b[:n]), c[:n])
+        s = same_cluster(a[:n] - cluster.logsumexp(a[:n]), b[:n] - cluster.logsumexp(b[:n]), c[:n])
+        return min(EVIDENCE, max(-EVIDENCE, s))
 
     n = len(rows)
-    sim = np.zeros((n, n))
+    sim = np.ones((n, n))
     for i in range(n):
         for j in range(i + 1, n):
             a, b = rows[i], rows[j]
-            here = pair({"chunk": a["chunk"], "forward": True, "posterior": a["posterior"]}, {"chunk": b["chunk"], "forward": True, "posterior": b["posterior"]})
-            around = sum(posterior_overlap(a[s], b[s], pair) for s in ("left", "right") if a[s] and b[s])
-            sim[i, j] = sim[j, i] = 1 / (1 + np.exp(-np.clip(here + around, -60, 60)))
-    np.fill_diagonal(sim, 1.0)
-    own = np.array([np.array(r["posterior"])[:k] for r in rows])
-    return cluster.spectral(sim, own, k, seed)
+            s = told(a["chunk"], a["posterior"], b["posterior"])
+            for side in ("left", "right"):
+                s += sum(told(a[side][p]["chunk"], a[side][p]["posterior"], b[side][q]["posterior"]) for p, q in matched(a[side], b[side]))
+            sim[i, j] = sim[j, i] = 1 / (1 + np.exp(-np.clip(s, -60, 60)))
+    own = np.exp(np.array([np.array(r["posterior"])[:k] - cluster.logsumexp(np.array(r["posterior"])[:k]) for r in rows]))
+    shared = sim @ own  # what the reads alike say together
+    return cluster.spectral(sim, np.log(shared / shared.sum(axis=1, keepdims=True) + 1e-12), k, seed)
 
 
 def corrected_clustering(nodes: DataFrame, chunks: DataFrame, coverage: float, protected: DataFrame | None = None, least_ari: float = 0.4, reach: int = 12, seed: int = 0) -> DataFrame:

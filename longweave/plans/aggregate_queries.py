@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from longweave.functions import stats
-from longweave.operators import graph, joins, rewrite
+from longweave.operators import graph, joins, rewrite, summaries
 from longweave.plans import views as V
 from longweave.plans.catalog import query
 from longweave.plans.scalar_queries import _CHUNKS, _COV, chunks
@@ -15,7 +14,7 @@ _N = f"SELECT chunk, count(*) AS n FROM ({V.NODES_SQL}) GROUP BY chunk"
 
 
 def counts(spark, sf):
-    return V.nodes(spark, sf).groupBy("chunk").agg(F.count("*").alias("n"))
+    return summaries.chunk_counts(V.nodes(spark, sf))
 
 
 @query("ag2_chunk_counts", _N)
@@ -63,8 +62,7 @@ def _(spark, sf):
 
 @query("ag11_pileup", "SELECT l_partkey AS chunk, count(*) AS n, md5(string_agg(l_suppkey || ':' || CAST(l_quantity AS BIGINT), ',' ORDER BY l_quantity, l_suppkey)) AS digest FROM lineitem GROUP BY l_partkey")
 def _(spark, sf):
-    li = V.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("chunk"), F.struct("l_quantity", "l_suppkey").alias("x"))
-    g = li.groupBy("chunk").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("x")).alias("xs"))
+    g = summaries.pileups(V.table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "chunk"), "chunk", "l_quantity", "l_suppkey")
     text = F.array_join(F.transform("xs", lambda x: F.concat(x["l_suppkey"].cast("string"), F.lit(":"), x["l_quantity"].cast("long").cast("string"))), ",")
     return g.select("chunk", "n", F.md5(text).alias("digest"))
 
@@ -86,7 +84,7 @@ def _(spark, sf):
 
 @query("ag15_column_gains", f"SELECT col, round(sum(x), 5) AS gain, count(*) AS positive FROM ({V.CELLS_SQL}) WHERE x > 0.00001 GROUP BY col")
 def _(spark, sf):
-    return V.cells(spark, sf).where("x > 0.00001").groupBy(F.col("col").cast("long").alias("col")).agg(F.round(F.sum("x"), 5).alias("gain"), F.count("*").alias("positive"))
+    return summaries.column_gains(V.cells(spark, sf)).withColumn("gain", F.round("gain", 5))
 
 
 @query("ag16_read_stats", f"SELECT count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS bases, CAST(sum(length(seq)) // count(*) AS BIGINT) AS mean, CAST(min(length(seq)) AS BIGINT) AS least, CAST(max(length(seq)) AS BIGINT) AS most FROM ({V.READS_SQL})")
@@ -103,30 +101,23 @@ def _(spark, sf):
 
 @query("ag18_sl3_top_and_histogram", "SELECT 'top' AS what, n_chars AS value, count(*) AS n FROM (SELECT n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20) GROUP BY ALL UNION ALL SELECT 'bin', n_chars // 1000, count(*) FROM documents GROUP BY ALL")
 def _(spark, sf):
-    d = V.table(spark, sf, "documents")
-    top = d.orderBy(F.desc("n_chars"), "doc_id").limit(20).groupBy("n_chars").agg(F.count("*").alias("n")).select(F.lit("top").alias("what"), F.col("n_chars").alias("value"), "n")
-    bins = d.groupBy(F.expr("n_chars div 1000").alias("value")).agg(F.count("*").alias("n")).select(F.lit("bin").alias("what"), "value", "n")
-    return top.unionByName(bins)
+    return summaries.longest_and_histogram(V.table(spark, sf, "documents"), "n_chars", "doc_id")
 
 
 @query("ag19_encoding_stats", f"""WITH e AS (SELECT read_id, count(*) AS n, sum(len) AS covered, max(pos + len) - min(pos) AS length FROM ({V.NODES_SQL}) GROUP BY read_id), r AS (SELECT doc_id AS read_id FROM documents)
 SELECT count(*) FILTER (n IS NULL) AS gap_reads, CAST(sum(n) AS BIGINT) AS nodes, round(sum(covered) / sum(length), 6) AS rate FROM r LEFT JOIN e USING (read_id)""")
 def _(spark, sf):
-    n = V.nodes(spark, sf)
-    e = n.groupBy("read_id").agg(F.count("*").alias("n"), F.sum("len").alias("covered"), (F.max(F.col("pos") + F.col("len")) - F.min("pos")).alias("length"))
-    j = V.reads(spark, sf).select("read_id").join(e, "read_id", "left")
-    return j.agg(F.count(F.when(F.col("n").isNull(), 1)).alias("gap_reads"), F.sum("n").alias("nodes"), F.round(F.sum("covered") / F.sum("length"), 6).alias("rate"))
+    return summaries.encoding_stats(V.reads(spark, sf), V.nodes(spark, sf)).withColumn("rate", F.round("rate", 6))
 
 
 @query("ag20_chunk_occupancy", f"SELECT min(n) AS least, arg_min(chunk, n * 1000000 + chunk) AS least_chunk, max(n) AS most, arg_max(chunk, n * 1000000 + chunk) AS most_chunk, round(avg(n), 6) AS mean FROM ({_N})")
 def _(spark, sf):
-    key = F.struct("n", "chunk")
-    return counts(spark, sf).agg(F.min("n").alias("least"), F.min_by("chunk", key).alias("least_chunk"), F.max("n").alias("most"), F.max_by("chunk", key).alias("most_chunk"), F.round(F.avg("n"), 6).alias("mean"))
+    return summaries.occupancy(counts(spark, sf)).withColumn("mean", F.round("mean", 6))
 
 
 @query("ag21_chunk_lengths", f"SELECT count(*) AS n, CAST(sum(chunk + 100) AS BIGINT) AS bases, CAST(sum(chunk + 100) // count(*) AS BIGINT) AS mean FROM ({_N})")
 def _(spark, sf):
-    return counts(spark, sf).agg(F.count("*").alias("n"), F.sum(F.col("chunk") + 100).alias("bases"), F.expr("sum(chunk + 100) div count(*)").alias("mean"))
+    return summaries.length_stats(counts(spark, sf), F.col("chunk") + 100)
 
 
 _PAIRS = "SELECT quality AS a, toxic AS b FROM labels"
@@ -158,15 +149,13 @@ def _(spark, sf):
 
 @query("ag27_purity", f"SELECT chunk, cluster, count(*) FILTER (read_id % 2 = 0) AS hap1, count(*) FILTER (read_id % 2 = 1) AS hap2, round(greatest(count(*) FILTER (read_id % 2 = 0), count(*) FILTER (read_id % 2 = 1)) / count(*), 6) AS purity FROM ({V.NODES_SQL}) GROUP BY ALL")
 def _(spark, sf):
-    one, two = F.count(F.when(F.col("read_id") % 2 == 0, 1)), F.count(F.when(F.col("read_id") % 2 == 1, 1))
-    g = V.nodes(spark, sf).groupBy("chunk", "cluster").agg(one.alias("hap1"), two.alias("hap2"))
-    return g.withColumn("purity", F.round(F.greatest("hap1", "hap2") / (F.col("hap1") + F.col("hap2")), 6))
+    return summaries.haplotype_counts(V.nodes(spark, sf), ["chunk", "cluster"], F.col("read_id") % 2 == 0).withColumn("purity", F.round("purity", 6))
 
 
 @query("ag28_contig_tags", "SELECT c_nationkey % 5 AS contig, CAST(floor(avg(c_acctbal)) AS BIGINT) AS mean_occ, CAST(round(avg(c_custkey % 4)) AS BIGINT) AS copies, string_agg(DISTINCT CAST(c_nationkey AS VARCHAR), ',' ORDER BY CAST(c_nationkey AS VARCHAR)) AS members FROM customer GROUP BY ALL")
 def _(spark, sf):
-    c = V.table(spark, sf, "customer")
-    return c.groupBy((F.col("c_nationkey") % 5).alias("contig")).agg(F.floor(F.avg("c_acctbal")).alias("mean_occ"), F.round(F.avg(F.col("c_custkey") % 4)).cast("long").alias("copies"), F.array_join(F.sort_array(F.collect_set(F.col("c_nationkey").cast("string"))), ",").alias("members"))
+    c = V.table(spark, sf, "customer").select((F.col("c_nationkey") % 5).alias("contig"), F.col("c_acctbal").alias("occ"), (F.col("c_custkey") % 4).alias("copies"), F.col("c_nationkey").alias("name"))
+    return summaries.contig_tags(c)
 
 
 @query("ag29_qv", "SELECT l_returnflag, round(-10 * log10(sum(l_discount) / sum(l_quantity)), 6) AS qv FROM lineitem GROUP BY l_returnflag")
@@ -176,13 +165,12 @@ def _(spark, sf):
 
 @query("ag30_pileup_coverage", f"SELECT chunk, CAST(sum(len) // count(*) AS BIGINT) AS mean, CAST(least(sum(len) // count(*) // 5, 2) AS BIGINT) AS thr FROM ({V.NODES_SQL}) GROUP BY chunk")
 def _(spark, sf):
-    g = V.nodes(spark, sf).groupBy("chunk").agg(F.expr("sum(len) div count(*)").alias("mean"))
-    return g.withColumn("thr", F.least(F.expr("mean div 5"), F.lit(2)))
+    return summaries.pileup_coverage(V.nodes(spark, sf))
 
 
 @query("ag31_insertion_candidates", f"SELECT chunk, cluster, is_forward, count(*) AS n, CAST(trunc(sum(gap) / count(*)) AS BIGINT) AS mean_offset FROM ({V.NODES_SQL}) GROUP BY ALL HAVING count(*) >= 3")
 def _(spark, sf):
-    return V.nodes(spark, sf).groupBy("chunk", "cluster", "is_forward").agg(F.count("*").alias("n"), F.expr("sum(gap) div count(*)").alias("mean_offset")).where("n >= 3")
+    return summaries.insertion_offsets(V.nodes(spark, sf))
 
 
 @query("ag32_protected_clusters", f"SELECT chunk FROM ({_N}) JOIN ({_CHUNKS}) USING (chunk) WHERE n * (cluster_num - 1) / cluster_num * 0.5 < 40 AND cluster_num > 1")
@@ -213,6 +201,4 @@ def _(spark, sf):
 
 @query("lb19_cumulative_lengths", "SELECT lang, doc_id, round(sum(n_chars) OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) / sum(n_chars) OVER (PARTITION BY lang), 6) AS share FROM documents")
 def _(spark, sf):
-    w = Window.partitionBy("lang")
-    run = w.orderBy(F.desc("n_chars"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return V.table(spark, sf, "documents").select("lang", "doc_id", F.round(F.sum("n_chars").over(run) / F.sum("n_chars").over(w), 6).alias("share"))
+    return summaries.cumulative_share(V.table(spark, sf, "documents").select("lang", "doc_id", "n_chars"), "lang", "n_chars", "doc_id").select("lang", "doc_id", F.round("share", 6).alias("share"))

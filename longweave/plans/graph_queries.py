@@ -12,17 +12,23 @@ from longweave.plans.scalar_queries import _COARSE, coarse
 _ADJ = f"SELECT chunk * 1000000 + cluster AS a, NOT is_forward AS a_head, lead(chunk * 1000000 + cluster) OVER w AS b, lead(is_forward) OVER w AS b_head, lead(pos) OVER w - pos - len AS off FROM ({_COARSE}) WINDOW w AS (PARTITION BY read_id ORDER BY idx)"
 _BOTH = "SELECT a, a_head, b, b_head, off FROM x WHERE b IS NOT NULL UNION ALL SELECT b, b_head, a, a_head, off FROM x WHERE b IS NOT NULL AND NOT (a = b AND a_head = b_head)"
 _WITH = f"WITH RECURSIVE x AS MATERIALIZED ({_ADJ}), e AS MATERIALIZED (SELECT a, a_head, b, b_head, count(*) AS occ, CAST(sum(off) AS BIGINT) AS offsets FROM ({_BOTH}) GROUP BY ALL), g AS MATERIALIZED (SELECT chunk * 1000000 + cluster AS node, count(*) AS occ FROM ({_COARSE}) GROUP BY ALL)"
-#: Edges above this are kept where a sparse graph is wanted.
-_SPARSE = 7
+#: Where a sparse graph is wanted, edges that occur more often than the mean by so many standard deviations.
+_SPARSE = 2.5
 
 
 def parts(spark, sf):
     return graph.build(coarse(spark, sf))
 
 
+def strong(e):
+    """The edges that occur more often than most."""
+    least = e.agg(F.avg("occ") + _SPARSE * F.stddev_pop("occ")).first()[0]
+    return e.where(F.col("occ") > F.lit(least))
+
+
 def sparse(spark, sf):
     g, e = parts(spark, sf)
-    return g, e.where(F.col("occ") > _SPARSE)
+    return g, strong(e)
 
 
 @query("gr1_build", _WITH + "SELECT * FROM e")
@@ -67,7 +73,7 @@ def _(spark, sf):
     return graph.without_zero_copies(*copied(spark, sf), 0.5)[1].select("a", "a_head", "b", "b_head")
 
 
-_SP = f", s AS MATERIALIZED (SELECT * FROM e WHERE occ > {_SPARSE})"
+_SP = f", s AS MATERIALIZED (SELECT * FROM e WHERE occ > (SELECT avg(occ) + {_SPARSE} * stddev_pop(occ) FROM e))"
 _BALL = ", s1 AS (SELECT DISTINCT a, b FROM s), b1 AS (SELECT node, node AS near FROM g UNION SELECT a, b FROM s1), b2 AS (SELECT * FROM b1 UNION SELECT node, s1.b FROM b1 JOIN s1 ON near = s1.a), m AS (SELECT b2.node, avg(occ) AS mean FROM b2 JOIN g ON near = g.node GROUP BY b2.node)"
 
 
@@ -79,7 +85,7 @@ def _(spark, sf):
 @query("gr5_removable_tips", _WITH + _DEG + _SP + _COPY + _BALL + ", p AS (SELECT a AS node, count(DISTINCT a_head) AS ports FROM s GROUP BY a) SELECT node FROM nc LEFT JOIN p USING (node) JOIN m USING (node) WHERE copies = 0 AND coalesce(ports, 0) < 2 AND occ < 0.99 * mean")
 def _(spark, sf):
     g, e = copied(spark, sf)
-    return graph.removable_tips(g, e.where(F.col("occ") > _SPARSE), 0.99, 2)
+    return graph.removable_tips(g, strong(e), 0.99, 2)
 
 
 _COMP = ", r AS (SELECT node, node AS c FROM g UNION SELECT r.node, s.b FROM r JOIN s ON r.c = s.a), k AS (SELECT node, min(c) AS component FROM r GROUP BY node)"

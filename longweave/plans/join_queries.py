@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from longweave.operators import joins, ordered
+from longweave.operators import joins, ordered, summaries
 from longweave.plans import views as V
 from longweave.plans.aggregate_queries import _N, counts
 from longweave.plans.catalog import query
@@ -15,7 +15,7 @@ from longweave.plans.scalar_queries import _CHUNKS, chunks
 @query("jn1_reads_and_alignments", "SELECT o_orderkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS bases FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def _(spark, sf):
     o, li = V.table(spark, sf, "orders"), V.table(spark, sf, "lineitem")
-    return o.join(li, o["o_orderkey"] == li["l_orderkey"]).groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("bases"))
+    return summaries.with_alignments(o, li, "o_orderkey", "l_orderkey").groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("bases"))
 
 
 @query("jn2_nodes_and_chunks", f"SELECT read_id, CAST(sum(copy_num) AS BIGINT) AS copies FROM ({V.NODES_SQL}) JOIN ({_CHUNKS}) USING (chunk) GROUP BY read_id")
@@ -25,20 +25,19 @@ def _(spark, sf):
 
 @query("jn3_encoded_and_raw", f"SELECT r.read_id, count(*) AS nodes, any_value(length(seq)) AS len FROM ({V.NODES_SQL}) n JOIN ({V.READS_SQL}) r USING (read_id) GROUP BY ALL")
 def _(spark, sf):
-    r = V.reads(spark, sf).select("read_id", F.length("seq").cast("long").alias("len"))
-    return V.nodes(spark, sf).groupBy("read_id").agg(F.count("*").alias("nodes")).join(r, "read_id")
+    return summaries.encoded_lengths(V.reads(spark, sf), V.nodes(spark, sf))
 
 
 @query("jn4_anti", "SELECT count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def _(spark, sf):
     li = V.table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
-    return V.table(spark, sf, "part").join(li, "p_partkey", "left_anti").agg(F.count("*").alias("n"))
+    return summaries.without(V.table(spark, sf, "part"), li, "p_partkey").agg(F.count("*").alias("n"))
 
 
 @query("jn5_semi", "SELECT count(*) AS n FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def _(spark, sf):
     li = V.table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
-    return V.table(spark, sf, "part").join(li, "p_partkey", "left_semi").agg(F.count("*").alias("n"))
+    return summaries.only(V.table(spark, sf, "part"), li, "p_partkey").agg(F.count("*").alias("n"))
 
 
 @query("jn6_never_encoded", f"SELECT count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS bases FROM ({V.READS_SQL}) ANTI JOIN ({V.NODES_SQL}) n USING (read_id)")
@@ -96,21 +95,15 @@ def _(spark, sf):
 _TIP = f"SELECT chunk, is_forward, count(*) AS n FROM (SELECT *, max(idx) OVER (PARTITION BY read_id) AS last FROM ({V.NODES_SQL})) WHERE idx = last GROUP BY ALL HAVING count(*) > 1"
 
 
-def _last(spark, sf):
-    n = V.nodes(spark, sf)
-    return n.groupBy("read_id").agg(F.max_by(F.struct("chunk", "is_forward"), "idx").alias("x")).select("read_id", "x.*")
-
-
 @query("ag35_filled_tips", _TIP)
 def _(spark, sf):
-    return _last(spark, sf).groupBy("chunk", "is_forward").agg(F.count("*").alias("n")).where("n > 1")
+    return summaries.tip_counts(V.nodes(spark, sf))
 
 
 @query("jn13_tips_and_fills", f"SELECT read_id, t.n FROM (SELECT *, max(idx) OVER (PARTITION BY read_id) AS last FROM ({V.NODES_SQL})) x JOIN ({_TIP}) t USING (chunk, is_forward) WHERE idx = last")
 def _(spark, sf):
-    last = _last(spark, sf)
-    tips = last.groupBy("chunk", "is_forward").agg(F.count("*").alias("n")).where("n > 1")
-    return last.join(tips, ["chunk", "is_forward"]).select("read_id", "n")
+    n = V.nodes(spark, sf)
+    return summaries.last_nodes(n).join(summaries.tip_counts(n), ["chunk", "is_forward"]).select("read_id", "n")
 
 
 @query("jn14_spanning_counts", f"SELECT h.chunk % 10 AS head, t.chunk % 7 AS tail, count(DISTINCT h.read_id) AS n FROM ({V.NODES_SQL}) h JOIN ({V.NODES_SQL}) t USING (read_id) WHERE h.cluster = 1 AND t.cluster = 2 GROUP BY ALL")
@@ -148,34 +141,30 @@ def _(spark, sf):
 
 @query("lb6_contig_purity", "SELECT l_suppkey AS contig, count(*) FILTER (l_partkey % 2 = 0) AS hap1, count(*) FILTER (l_partkey % 2 = 1) AS hap2 FROM lineitem GROUP BY ALL")
 def _(spark, sf):
-    li = V.table(spark, sf, "lineitem")
-    return li.groupBy(F.col("l_suppkey").alias("contig")).agg(F.count(F.when(F.col("l_partkey") % 2 == 0, 1)).alias("hap1"), F.count(F.when(F.col("l_partkey") % 2 == 1, 1)).alias("hap2"))
+    return summaries.haplotype_counts(V.table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "contig"), ["contig"], F.col("l_partkey") % 2 == 0).drop("purity")
 
 
 @query("lb9_filtered_range", "SELECT l_orderkey - 100 AS at, l_linenumber, count(*) AS n FROM lineitem WHERE l_orderkey BETWEEN 100 AND 5000 GROUP BY ALL")
 def _(spark, sf):
     """Features of a region, with positions counted from its start."""
-    return V.table(spark, sf, "lineitem").where("l_orderkey BETWEEN 100 AND 5000").groupBy((F.col("l_orderkey") - 100).alias("at"), "l_linenumber").agg(F.count("*").alias("n"))
+    return summaries.in_range(V.table(spark, sf, "lineitem"), "l_orderkey", 100, 5000).groupBy(F.col("l_orderkey").alias("at"), "l_linenumber").agg(F.count("*").alias("n"))
 
 
 @query("lb10_regions", "SELECT n_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey AND c_custkey BETWEEN n_nationkey * 40 AND n_nationkey * 80 GROUP BY ALL")
 def _(spark, sf):
-    c, n = V.table(spark, sf, "customer"), V.table(spark, sf, "nation")
-    j = c.join(n, (c["c_nationkey"] == n["n_nationkey"]) & c["c_custkey"].between(n["n_nationkey"] * 40, n["n_nationkey"] * 80))
-    return j.groupBy("n_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("s"))
+    n = V.table(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") * 40).alias("first"), (F.col("n_nationkey") * 80).alias("last"))
+    return summaries.in_regions(V.table(spark, sf, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), n, "n_nationkey", "c_custkey").groupBy("n_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("s"))
 
 
 @query("lb11_lb12_tagged_reads", "SELECT hap, count(*) AS n FROM (SELECT doc_id, unnest(CASE WHEN quality IS NULL THEN [1, 2] ELSE [quality + 1] END) AS hap FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY hap")
 def _(spark, sf):
     """Reads by haplotype; those without a tag go to both."""
-    j = V.table(spark, sf, "documents").select("doc_id").join(V.table(spark, sf, "labels"), "doc_id", "left")
-    haps = F.when(F.col("quality").isNull(), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.col("quality") + 1))
-    return j.select(F.explode(haps).alias("hap")).groupBy("hap").agg(F.count("*").alias("n"))
+    return summaries.by_haplotype(V.table(spark, sf, "documents").select("doc_id"), V.table(spark, sf, "labels"), "doc_id", "quality").groupBy("hap").agg(F.count("*").alias("n"))
 
 
 @query("lb17_contig_summary", "SELECT c_nationkey % 4 AS cp, count(*) AS n, CAST(sum(length(c_name)) AS BIGINT) AS bases FROM customer GROUP BY ALL")
 def _(spark, sf):
-    return V.table(spark, sf, "customer").groupBy((F.col("c_nationkey") % 4).alias("cp")).agg(F.count("*").alias("n"), F.sum(F.length("c_name")).alias("bases"))
+    return summaries.bases_by(V.table(spark, sf, "customer"), F.col("c_nationkey") % 4, F.length("c_name"))
 
 
 @query("lb13_pileup_rows", f"SELECT chunk, node_id, read_id, cluster FROM ({V.NODES_SQL}) SEMI JOIN (SELECT chunk FROM ({_N}) WHERE n > 110) c USING (chunk)")

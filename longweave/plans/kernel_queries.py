@@ -25,9 +25,16 @@ def _(spark, sf):
 
 @query("ml13_exact_score", f"WITH g AS (SELECT label, vec_id, sum(x) AS s FROM ({V.CELLS_SQL}) WHERE col = label GROUP BY ALL) SELECT label, round(sum(greatest(s, 0)), 5) AS score FROM g GROUP BY label")
 def _(spark, sf):
-    """The score of one column in two clusters: with it or without it."""
+    """The exact best score of one column in two clusters."""
+    import pyarrow as pa
+
+    def run(key, t):
+        gains = t.column("s").to_numpy()[:, None]
+        return pa.table({"label": pa.array([key[0].as_py()], t.schema.field("label").type), "score": pa.array([cluster.exact(gains, 2)[1]])})
+
     g = V.cells(spark, sf).where("col = label").groupBy("label", "vec_id").agg(F.sum("x").alias("s"))
-    return g.groupBy("label").agg(F.round(F.sum(F.greatest("s", F.lit(0.0))), 5).alias("score"))
+    kind = dict(g.dtypes)["label"]
+    return g.groupBy("label").applyInArrow(run, f"label {kind}, score double").select("label", F.round("score", 5).alias("score"))
 
 
 def _error_rows(spark, sf):
@@ -70,9 +77,15 @@ def _(spark, sf):
 
 @query("cp1_flow_penalty", "SELECT l_suppkey, round(sum(l_linenumber * power(l_quantity - 10.0 * round(l_quantity / 10.0), 2)), 4) AS penalty FROM lineitem GROUP BY l_suppkey")
 def _(spark, sf):
-    c = F.round(F.col("l_quantity") / 10.0)
-    li = V.table(spark, sf, "lineitem")
-    return li.groupBy("l_suppkey").agg(F.round(F.sum(F.col("l_linenumber") * F.pow(F.col("l_quantity") - c * 10.0, 2)), 4).alias("penalty"))
+    """The penalty of copies rounded from quantities, with line numbers as lengths."""
+    import pyarrow as pa
+
+    def run(key, t):
+        w = t.column("w").to_numpy()
+        return pa.table({"l_suppkey": pa.array([key[0].as_py()], pa.int64()), "penalty": pa.array([copies.penalty(w, t.column("n").to_numpy(), np.floor(w / 10.0 + 0.5), 10.0)])})
+
+    li = V.table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("long").alias("l_suppkey"), F.col("l_quantity").cast("double").alias("w"), F.col("l_linenumber").cast("double").alias("n"))
+    return li.groupBy("l_suppkey").applyInArrow(run, "l_suppkey long, penalty double").select("l_suppkey", F.round("penalty", 4).alias("penalty"))
 
 
 @query("cp1_flow_copies")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from longweave.operators import graph, ordered, rewrite, sampling
+from longweave.operators import graph, ordered, rewrite, sampling, summaries
 from longweave.plans import views as V
 from longweave.plans.aggregate_queries import _N, counts
 from longweave.plans.catalog import query
@@ -68,8 +68,7 @@ def _(spark, sf):
 
 @query("sl6_best_candidate", f"SELECT chunk, cluster, n FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY n DESC, cluster DESC) AS r FROM (SELECT chunk, cluster, count(*) AS n FROM ({V.NODES_SQL}) GROUP BY ALL)) WHERE r = 1")
 def _(spark, sf):
-    n = V.nodes(spark, sf).groupBy("chunk", "cluster").agg(F.count("*").alias("n"))
-    return n.groupBy("chunk").agg(F.max(F.struct("n", "cluster")).alias("best")).select("chunk", "best.cluster", "best.n")
+    return summaries.best_cluster(V.nodes(spark, sf))
 
 
 @query("sl7_strongest_focus", f'SELECT from_chunk, to_chunk, "offset" FROM (SELECT *, row_number() OVER (PARTITION BY from_chunk ORDER BY "offset" DESC, to_chunk, read_id, idx) AS r FROM ({_EDGES})) WHERE r = 1')
@@ -108,11 +107,7 @@ def _(spark, sf):
 @query("st3_subset", f"WITH r AS (SELECT read_id, list_distinct(list(chunk)) AS c FROM ({V.NODES_SQL}) GROUP BY read_id) SELECT a.read_id AS a, b.read_id AS b FROM r a JOIN r b ON a.read_id < b.read_id WHERE len(list_filter(a.c, lambda x: NOT list_contains(b.c, x))) <= 20")
 def _(spark, sf):
     """Reads whose chunks, but for at most twenty, another has too."""
-    c = V.nodes(spark, sf).select("read_id", "chunk").distinct()
-    a, b = c.withColumnRenamed("read_id", "a"), c.withColumnRenamed("read_id", "b")
-    size = c.groupBy(F.col("read_id").alias("a")).agg(F.count("*").alias("size"))
-    both = a.join(b, "chunk").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    return both.join(size, "a").where("size - both <= 20").select("a", "b")
+    return summaries.nearly_contained(V.nodes(spark, sf), 20)
 
 
 @query("st4_dedup", f"SELECT DISTINCT least(from_chunk, to_chunk) AS a, greatest(from_chunk, to_chunk) AS b FROM ({_EDGES})")

@@ -355,7 +355,9 @@ def _(spark, sf):
 
 @query("rw6_reset_labels", f"SELECT chunk, count(*) AS n, CAST(0 AS BIGINT) AS cluster FROM ({V.NODES_SQL}) GROUP BY chunk")
 def _(spark, sf):
-    return V.nodes(spark, sf).withColumn("cluster", F.lit(0).cast("long")).groupBy("chunk", "cluster").agg(F.count("*").alias("n"))
+    from longweave.operators.summaries import reset_labels
+
+    return reset_labels(V.nodes(spark, sf)).groupBy("chunk", "cluster").agg(F.count("*").alias("n"))
 
 
 @query("rw7_normalised_clusters", f"""WITH n AS ({V.NODES_SQL}), c AS (SELECT chunk, cluster, row_number() OVER (PARTITION BY chunk ORDER BY count(*) DESC, cluster DESC) - 1 AS new FROM n GROUP BY chunk, cluster) SELECT node_id, new AS cluster FROM n JOIN c USING (chunk, cluster)""")

@@ -24,7 +24,7 @@ def select_chunks(reads: DataFrame, chunk_len: int, take: int, margin: int = 0,
     from longweave.session import saved
 
     windows = ordered.fixed_windows(reads.select("read_id", "seq"), F.length("seq"), chunk_len, margin)
-    own = saved(windows.select(F.xxhash64("read_id", "start").alias("read_id"), F.substring("seq", F.col("start").cast("int") + 1, F.lit(chunk_len)).alias("seq")), "windows")
+    own = saved(windows.select(F.xxhash64("read_id", "start").alias("read_id"), F.upper(F.substring("seq", F.col("start").cast("int") + 1, F.lit(chunk_len))).alias("seq")), "windows")
     rep = masking.repetitiveness(own, masking.mask(reads, k), k).where(F.col("repetitiveness") <= exclude)
     drawn = sampling.weighted_sample(rep.withColumn("weight", 1 - F.col("repetitiveness")), "read_id", "weight", take, seed)
     named = own.join(drawn.select("read_id"), "read_id", "left_semi").groupBy("read_id").agg(F.first("seq").alias("seq"))
@@ -50,7 +50,7 @@ def encode(reads: DataFrame, chunks: DataFrame, sim_thr: float, k: int = 15) ->
     """Nodes: chunks found in reads, one of overlapping ones of a chunk, dense idx in each read."""
     from longweave.operators import align, rewrite
 
-    n = align.mapped(reads.select("read_id", "seq"), chunks, sim_thr, k)
+    n = align.mapped(reads.select("read_id", F.upper("seq").alias("seq")), chunks, sim_thr, k)
     n = n.withColumn("len", F.col("end") - F.col("pos")).withColumn("score", -F.length("cigar"))
     n = n.withColumn("node_id", F.xxhash64("read_id", "chunk", "pos", "is_forward")).withColumn("idx", F.col("pos").cast("int")).withColumn("cluster", F.lit(0).cast("long"))
     return rewrite.reindexed(rewrite.without_slippy(n))
@@ -62,7 +62,7 @@ def node_sequences(nodes: DataFrame, reads: DataFrame) -> DataFrame:
 
     part = F.substring("__read", F.col("pos").cast("int") + 1, F.col("len").cast("int"))
     j = nodes.join(reads.select("read_id", F.col("seq").alias("__read")), "read_id")
-    return j.withColumn("seq", F.when(F.col("is_forward"), part).otherwise(reverse_complement(part))).drop("__read")
+    return j.withColumn("seq", F.upper(F.when(F.col("is_forward"), part).otherwise(reverse_complement(part)))).drop("__read")
 
 
 def cluster_locally(nodes: DataFrame, chunks: DataFrame, coverage: float, most: int = 2, selection: DataFrame | None = None) -> DataFrame:
@@ -313,10 +313,10 @@ def polish_encoding(nodes: DataFrame, chunks: DataFrame, reads: DataFrame, cover
 
 
 def window_parts(alignments: DataFrame, window: int) -> DataFrame:
-    """(contig, window, seq): what each alignment (contig, pos from 0, cigar, seq) has in each window of its contig.
+    """(contig, window, seq): what each alignment (contig, total, pos from 0, cigar, seq) has in the windows that it spans.
 
-    Soft clips are in ``seq`` and skipped, hard clips aren't; parts that cover less than half a window
-    stay out, so that ends don't vote on windows they hardly reach. Insertions go with the base before.
+    ``total`` is the contig's length. Soft clips are in ``seq`` and skipped, hard clips aren't. An
+    alignment that ends inside a window doesn't vote on it. Insertions go with the base before.
     """
     import re
 
@@ -327,7 +327,7 @@ def window_parts(alignments: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for contig, pos, cigar, seq in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for contig, total, pos, cigar, seq in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 at, q, parts = pos, 0, {}
                 for n, op in ops.findall(cigar or ""):
                     n = int(n)
@@ -349,10 +349,10 @@ def window_parts(alignments: DataFrame, window: int) -> DataFrame:
                         if op == "I" and parts:
                             parts.setdefault(max(0, at - 1) // window, [[], 0])[0].append(seq[q : q + n])
                         q += n
-                out += [(contig, w, "".join(x)) for w, (x, n) in parts.items() if 2 * n >= window or n == at - pos]
+                out += [(contig, w, "".join(x)) for w, (x, n) in parts.items() if n == min(window, total - w * window)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())], ["contig", "window", "seq"])
 
-    return alignments.select("contig", F.col("pos").cast("long"), "cigar", "seq").where("pos IS NOT NULL AND seq IS NOT NULL").mapInArrow(run, "contig string, window long, seq string")
+    return alignments.select("contig", F.col("total").cast("long"), F.col("pos").cast("long"), "cigar", "seq").where("pos IS NOT NULL AND seq IS NOT NULL").mapInArrow(run, "contig string, window long, seq string")
 
 
 def polish(contigs: DataFrame, alignments: DataFrame, window: int = 2000, least: int = 2, most: int = 50, rounds: int = 2) -> DataFrame:
@@ -363,7 +363,8 @@ def polish(contigs: DataFrame, alignments: DataFrame, window: int = 2000, least:
     from longweave.operators.align import grouped_consensus
 
     own = contigs.select(F.col("name").alias("contig"), F.expr(f"posexplode(transform(sequence(0, int(greatest(ceil(length(seq) / {window}), 1)) - 1), i -> substring(seq, i * {window} + 1, {window})))").alias("window", "old"))
-    voted = grouped_consensus(window_parts(alignments, window), ["contig", "window"], least, most, rounds).select("contig", "window", F.col("seq").alias("new"))
+    sized = alignments.join(contigs.select(F.col("name").alias("contig"), F.length("seq").cast("long").alias("total")), "contig")
+    voted = grouped_consensus(window_parts(sized, window), ["contig", "window"], least, most, rounds).select("contig", "window", F.col("seq").alias("new"))
     both = own.withColumn("window", F.col("window").cast("long")).join(voted, ["contig", "window"], "left")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("window", F.coalesce("new", "old").alias("s")))), lambda x: x["s"]), "")
     return both.groupBy(F.col("contig").alias("name")).agg(text.alias("seq"))

@@ -193,8 +193,9 @@ def assemble(store: Store, o) -> None:
     if not o.no_polish:
         from longweave.operators.align import mapped
 
-        hits = mapped(store.get("reads").select("read_id", "seq"), seg.select(F.xxhash64("name").alias("chunk"), "seq"), store.sim_thr()).select("read_id", "chunk", "pos", "end", "is_forward", "cigar")
-        own = hits.join(store.get("reads").select("read_id", "seq"), "read_id").join(seg.select(F.xxhash64("name").alias("chunk"), F.col("name").alias("contig")), "chunk")
+        reads = store.get("reads").select("read_id", F.upper("seq").alias("seq"))
+        hits = mapped(reads, seg.select(F.xxhash64("name").alias("chunk"), "seq"), store.sim_thr()).select("read_id", "chunk", "pos", "end", "is_forward", "cigar")
+        own = hits.join(reads, "read_id").join(seg.select(F.xxhash64("name").alias("chunk"), F.col("name").alias("contig")), "chunk")
         own = own.select("contig", F.lit(0).alias("pos"), "cigar", F.substring("seq", (F.col("pos") + 1).cast("int"), (F.col("end") - F.col("pos")).cast("int")).alias("part"), "is_forward")
         from longweave.functions.sequence import reverse_complement
 

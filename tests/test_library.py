@@ -117,25 +117,32 @@ def test_names_are_registered():
     assert len(q) > 120 and set(sql) <= set(q)
 
 
-QUICK = ["ag6", "ag23", "ag26", "wn2", "wn8", "jn7", "jn8", "jn10", "pf7", "pf9", "gr2", "gr9", "sc10", "sl9", "st3", "io8", "rw7"]
+def _sql_names():
+    from longweave.plans import catalog
 
+    return sorted(catalog.oracle_sql())
 
-@pytest.mark.parametrize("prefix", QUICK)
-def test_queries_match_their_sql(spark, sf, prefix):
-    import duckdb
 
-    from longweave.plans import catalog
+@pytest.fixture(scope="module")
+def tables(sf):
+    import duckdb
 
-    q, sql = catalog.queries(), catalog.oracle_sql()
     con = duckdb.connect()
     for f in glob.glob(sf + "/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    for name in [n for n in sql if n.startswith(prefix + "_")]:
-        got = q[name](spark, sf)
-        cols = sorted(got.columns)
-        norm = lambda rows: sorted(str([round(x, 6) if isinstance(x, float) else x for x in r]) for r in rows)
-        a = norm([r[c] for c in cols] for r in got.collect())
-        cur = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({sql[name]})")
-        b = norm(list(r) for r in cur.df().astype(object).where(lambda d: d.notna(), None).values.tolist())
-        assert len(a) == len(b), name
-        assert [x.replace(".0", "") for x in a] == [x.replace(".0", "") for x in b], name
+    return con
+
+
+@pytest.mark.parametrize("name", _sql_names())
+def test_queries_match_their_sql(spark, sf, tables, name):
+    from longweave.plans import catalog
+
+    got = catalog.queries()[name](spark, sf)
+    cols = sorted(got.columns)
+    norm = lambda rows: sorted(str([round(x, 6) if isinstance(x, float) else x for x in r]) for r in rows)
+    a = norm([r[c] for c in cols] for r in got.collect())
+    cur = tables.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({catalog.oracle_sql()[name]})")
+    b = norm(list(r) for r in cur.df().astype(object).where(lambda d: d.notna(), None).values.tolist())
+    assert len(a) == len(b)
+    assert [x.replace(".0", "") for x in a] == [x.replace(".0", "") for x in b]
+    assert a or name not in ("gr10_contracted", "gr9_components")
