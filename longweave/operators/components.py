@@ -29,15 +29,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     labels = None
     while live.limit(1).count():
         both = live.select(F.col("a").alias("v"), F.col("b").alias("p")).unionByName(live.select(F.col("b").alias("v"), F.col("a").alias("p")))
-        roots = _rooted(saved(both.groupBy("v").agg(F.min("p").alias("p")), "hooks"))
+        hooks = saved(both.groupBy("v").agg(F.min("p").alias("p")), "hooks")
+        few = hooks.count() <= BROADCAST_VERTICES
+        roots = _rooted(hooks, few)
         if labels is None:
             new = roots.select(F.col("v").alias("node"), F.col("p").alias("component"))
         else:
-            found = _looked_up(labels, roots.withColumnsRenamed({"v": "component", "p": "to"}), "component", "node")
+            found = _looked_up(labels, roots.withColumnsRenamed({"v": "component", "p": "to"}), "component", "node", few)
             new = found.select("node", F.coalesce("to", "component").alias("component"))
         new = saved(new, "labels")
-        moved = _looked_up(live, roots.withColumnsRenamed({"v": "a", "p": "ra"}), "a", "b")
-        moved = _looked_up(moved, roots.withColumnsRenamed({"v": "b", "p": "rb"}), "b", "a").where("ra <> rb")
+        moved = _looked_up(live, roots.withColumnsRenamed({"v": "a", "p": "ra"}), "a", "b", few)
+        moved = _looked_up(moved, roots.withColumnsRenamed({"v": "b", "p": "rb"}), "b", "a", few).where("ra <> rb")
         after = saved(moved.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "edges")
         for old in (live, labels, roots):
             if old is not None:
@@ -49,17 +51,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return labels
 
 
-def _looked_up(left: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
-    if table.count() <= BROADCAST_VERTICES:
-        return left.join(F.broadcast(table), key, "left")
-    return salted_join(left, table, key, by, "left")
+def _looked_up(left: DataFrame, table: DataFrame, key: str, by: str, few: bool) -> DataFrame:
+    """``left`` with what ``table``, a row for each vertex, has for ``key``; ``few`` says that it may be broadcast."""
+    return left.join(F.broadcast(table), key, "left") if few else salted_join(left, table, key, by, "left")
 
 
-def _rooted(hooks: DataFrame) -> DataFrame:
+def _rooted(hooks: DataFrame, few: bool) -> DataFrame:
     """(v, p) with each vertex's root, from (v, p) with its least neighbour."""
     now, first = hooks, True
     while True:
-        far = _looked_up(now, now.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p", "v")
+        far = _looked_up(now, now.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p", "v", few)
         to = F.when(F.col("pp") == F.col("v"), F.least("v", "p")).otherwise(F.col("pp")) if first else F.col("pp")
         after = saved(far.select("v", to.alias("p"), (to != F.col("p")).alias("moved")), "jumps")
         drop_saved(now)

@@ -18,8 +18,11 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str =
     broadcast are the heavy keys: never more than the rows of ``left`` over ``heavy``, and ``heavy``
     grows so that this is 1,000,000 at most. Null keys join nothing.
     """
+    n = left.count()
+    if n <= heavy:
+        return left.join(right, key, how)
     counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__lw_n"))
-    heavy = max(heavy, (counts.agg(F.sum("__lw_n")).first()[0] or 0) // 1_000_000)
+    heavy = max(heavy, n // 1_000_000)
     hot = counts.where(F.col("__lw_n") > heavy).select(key, F.ceil(F.col("__lw_n") / heavy).cast("int").alias("__lw_parts"))
     hot = F.broadcast(hot)
     a = left.join(hot, key, "left").withColumn("__lw_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("__lw_parts")).cast("int"), F.lit(0))).drop("__lw_parts")
