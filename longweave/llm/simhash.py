@@ -313,10 +313,10 @@ def grouped(docs: DataFrame, threshold: float, k: int, radius: int) -> DataFrame
     links = saved(tiled_links(nodes.select("node", "fp", "n_shingles"), radius, 2, threshold).groupBy("a", "b").agg(F.min("d").alias("d")), "links")
     sets = linked_sets(docs, nodes, links, k)
     true = saved(verified(links, sets, threshold), "true")
-    open_ = saved(still_open(links, true).join(nodes.select("node", "fp", "n_shingles"), "node").join(sets, "node"), "open")
-    if open_.limit(1).count():
-        true = true.unionByName(tiled_links(open_, radius, 2, threshold).select("a", "b"))
     comp = connected_components(true)
+    open_ = saved(still_open(links, comp).join(nodes.select("node", "fp", "n_shingles"), "node").join(sets, "node"), "open")
+    if open_.limit(1).count():
+        comp = connected_components(true.unionByName(tiled_links(open_, radius, 2, threshold).select("a", "b")))
     of = saved(nodes.join(comp, "node", "left").select("text_key", "least", F.coalesce("component", "node").alias("component")), "components")
     first = of.groupBy("component").agg(F.min("least").alias("component_id"))
     by_text = of.join(first, "component").select("text_key", "component", "component_id")
@@ -394,11 +394,11 @@ def verified(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def still_open(links: DataFrame, true: DataFrame) -> DataFrame:
-    """(node, comp): nodes whose group by ``links`` falls apart by ``true``, with their component by ``true``.
+    """(node, comp): nodes whose group by ``links`` falls apart by the components ``true``, with those.
 
     Any other link within the radius joins two nodes of one group by ``links``; a group of two has none.
     """
     met = connected_components(links).withColumnRenamed("component", "met")
-    both = saved(met.join(connected_components(true), "node", "left").select("node", "met", F.coalesce("component", "node").alias("comp")), "met")
+    both = saved(met.join(true, "node", "left").select("node", "met", F.coalesce("component", "node").alias("comp")), "met")
     apart = both.groupBy("met").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y AND n > 2")
     return both.join(apart.select("met"), "met", "left_semi").select("node", "comp")
