@@ -28,6 +28,8 @@ STRIPE = (4096, 262_144)
 STRIPES = 24
 #: Bytes of shingle sets in a stripe that carries them, and in a part that stripes are merged from.
 STRIPE_BYTES, PART_BYTES = 24 << 20, 1 << 20
+#: Keys of linked texts up to which they are broadcast, some 60 bytes each.
+BROADCAST_KEYS = 1_000_000
 #: Links of one document whose sets a task meets.
 SET_LINKS = 500
 
@@ -377,7 +379,9 @@ def linked_sets(docs: DataFrame, nodes: DataFrame, links: DataFrame, k: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["text_key", "grams"])
 
     found = wanted.mapInArrow(tidy(run), "text_key binary, grams binary")
-    return saved(found.join(of.select("text_key", "node"), "text_key").select("node", "grams").dropDuplicates(["node"]), "sets")
+    keys = of.select("text_key", "node")
+    keys = F.broadcast(keys) if of.count() <= BROADCAST_KEYS else keys
+    return saved(found.join(keys, "text_key").select("node", "grams").dropDuplicates(["node"]), "sets")
 
 
 def verified(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
