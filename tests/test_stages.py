@@ -209,18 +209,18 @@ def test_zero_copy_ways_go():
 
 def test_pipeline_and_resume(spark, tmp_path):
     rng = np.random.default_rng(11)
-    genome = simulate.sequence(5000, rng)
-    rows = simulate.reads([genome], 12, 1500, 0.0, 5)
+    genome = simulate.sequence(3000, rng)
+    rows = simulate.reads([genome], 10, 1200, 0.0, 5)
     (tmp_path / "in.fa").write_text("".join(f">{r[1]}\n{r[2]}\n" for r in rows))
-    (tmp_path / "c.toml").write_text(f'input_file = "{tmp_path}/in.fa"\nread_type = "CCS"\nregion_size = "5K"\nout_dir = "{tmp_path}"\nchunk_len = 300\nmargin = 50\nexclude = 1.0\nto_polish = false\nresume = true\n')
+    (tmp_path / "c.toml").write_text(f'input_file = "{tmp_path}/in.fa"\nread_type = "CCS"\nregion_size = "3K"\nout_dir = "{tmp_path}"\nchunk_len = 300\nmargin = 50\nexclude = 1.0\nto_polish = false\nresume = true\n')
     config = verbs.Config.read(str(tmp_path / "c.toml"))
     gfa = verbs.run_pipeline(spark, config)
     contigs = Q.read_contigs(spark, gfa).collect()
-    assert contigs and max(len(r["seq"]) for r in contigs) > 2000
+    assert contigs and max(len(r["seq"]) for r in contigs) > 1500
     long = max((r["seq"] for r in contigs), key=len)
     _, distance, _, _ = align.edit_align(long, genome, "infix")
     _, other, _, _ = align.edit_align(reverse_complement(long), genome, "infix")
-    assert min(distance, other) <= 0.02 * len(long)
+    assert min(distance, other) <= long.count("N") + 0.01 * len(long)  # gaps between chunks are N without polishing
     before = (tmp_path / "temp.corrected" / "done").stat().st_mtime_ns
     verbs.run_pipeline(spark, config)
     assert (tmp_path / "temp.corrected" / "done").stat().st_mtime_ns == before
