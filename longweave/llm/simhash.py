@@ -32,6 +32,10 @@ STRIPE_BYTES, PART_BYTES = 24 << 20, 1 << 20
 BROADCAST_KEYS = 1_000_000
 #: Links of one document whose sets a task meets.
 SET_LINKS = 500
+#: Words of a proposing fingerprint, and those that the radius holds for.
+PROPOSING, NEAR_WORDS = 4, 2
+#: Rows of a tile that are compared with another tile at once, so that what is worked out on the way stays in a core's cache.
+ROWS = 64
 
 
 def shingles(words: list[bytes], k: int) -> list[bytes]:
@@ -46,6 +50,26 @@ def hashed(texts: list[bytes], seed: int = 42) -> np.ndarray:
     return np.fromiter((h(t, seed) for t in texts), np.uint64, len(texts))
 
 
+def remixed(h: np.ndarray) -> np.ndarray:
+    """Other 64 bits from each hash, as if hashed with another seed (the finalizer of splitmix64)."""
+    h = h + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def majorities(h: np.ndarray, words: int) -> bytes:
+    """A fingerprint of so many words, each of the hashes remixed once more; the highest byte of a word first."""
+    n, ones = len(h), np.zeros(64 * words, dtype=np.int64)
+    for i in range(0, n, 255):  # sums of up to 255 rows fit a byte
+        own = [h[i : i + 255]]
+        while len(own) < words:
+            own.append(remixed(own[-1]))
+        bits = np.unpackbits(np.stack(own, axis=1).view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").view(np.uint64).byteswap().tobytes()
+
+
 def majority(h: np.ndarray) -> np.uint64:
     """The 64 bits that are set in over half of the hashes; zero without any."""
     n = len(h)
@@ -66,10 +90,10 @@ def fingerprint(text: str | None, k: int = 3, seeds: tuple[int, ...] = (42,), di
     return np.array([majority(hashed(s, seed)) for seed in seeds], dtype=np.uint64), len(s)
 
 
-def fingerprints(docs: DataFrame, k: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
     """(doc_id, fp, n_shingles, text_key) for every row.
 
-    ``fp`` holds the fingerprint's words as bytes, the highest byte of each first; ``text_key`` is a 128-bit hash of the
+    ``fp`` holds the fingerprint's 64-bit words as bytes, the highest byte of each first; ``text_key`` is a 128-bit hash of the
     sequence of words, equal for texts that differ in spacing or A-Z case only. Null and empty texts
     have a zero fingerprint and no shingles.
     """
@@ -82,7 +106,7 @@ def fingerprints(docs: DataFrame, k: int = 3, seeds: tuple[int, ...] = (42,), di
                 w = words_of(text)
                 s = shingles(w, k)
                 s = list(set(s)) if distinct else s
-                fp.append(b"".join(majority(hashed(s, seed)).byteswap().tobytes() for seed in seeds))
+                fp.append(majorities(hashed(s), words))
                 n.append(len(s))
                 key.append(xxhash.xxh3_128_digest(b" ".join(w)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(key, pa.binary())], ["doc_id", "fp", "n_shingles", "text_key"])
@@ -122,8 +146,8 @@ def _striped(nodes: DataFrame, words: int, by_size: bool) -> tuple[DataFrame, in
             return
         t = pa.Table.from_batches(got).combine_chunks()
         node, size = t.column("node").to_numpy(), t.column("n_shingles").to_numpy()
-        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), dtype=np.uint64).reshape(len(node), words)
-        c = _counts(fp)
+        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+        c = _counts(fp[:, :words])
         keys = [node, *c.T[::-1]] + ([size] if by_size else [c[:, 4:].sum(axis=1), c[:, :4].sum(axis=1)])
         order = np.lexsort(keys)
         part, out = TaskContext.get().partitionId(), []
@@ -143,8 +167,38 @@ def _striped(nodes: DataFrame, words: int, by_size: bool) -> tuple[DataFrame, in
     return spread.mapInArrow(cut, "part int, node binary, fp binary, size binary, low array<int>, high array<int>, least long, most long" + more), rows
 
 
-def _met(tiles: list[tuple], radius: int, words: int, ratio: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(tile, tile, rows, rows, distances) of one cell's pairs within ``radius``; tiles: (side, node, fp, size, low, high, least, most, ...)."""
+def _hits(x: np.ndarray, y: np.ndarray, radius: int, words: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, rows, distances) of the fingerprints whose first words differ in ``radius`` bits at most; of ``same`` ones each pair once."""
+    A, B, D = [], [], []
+    ys = [np.ascontiguousarray(y[:, w]) for w in range(words)]
+    both, bits, d = (np.empty((ROWS, len(y)), t) for t in (np.uint64, np.uint8, np.uint8))
+    for lo in range(0, len(x), ROWS):
+        own = x[lo : lo + ROWS]
+        n = len(own)
+        for w in range(words):
+            np.bitwise_xor(own[:, w, None], ys[w][None], out=both[:n])
+            np.bitwise_count(both[:n], out=bits[:n] if w else d[:n])
+            if w:
+                np.add(d[:n], bits[:n], out=d[:n])
+        a, b = np.nonzero(d[:n] <= radius)
+        dist = d[a, b]
+        a += lo
+        if same:
+            above = b > a
+            a, b, dist = a[above], b[above], dist[above]
+        if len(a):
+            A.append(a)
+            B.append(b)
+            D.append(dist)
+    return tuple(np.concatenate(z) if z else np.zeros(0, np.int64) for z in (A, B, D))
+
+
+def _met(tiles: list[tuple], radius: int, words: int, ratio: float, whole: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tile, tile, rows, rows, distances) of one cell's pairs within ``radius``; tiles: (side, node, fp, size, low, high, least, most, ...).
+
+    The radius holds for the first ``words``. With ``whole``, all words of a pair differ in that many bits
+    at most, and the distance is that of all of them.
+    """
     low, high = np.array([x[4] for x in tiles]), np.array([x[5] for x in tiles])
     least, most = np.array([x[6] for x in tiles]), np.array([x[7] for x in tiles])
     side = np.array([x[0] for x in tiles])
@@ -159,31 +213,29 @@ def _met(tiles: list[tuple], radius: int, words: int, ratio: float) -> Iterator[
             js = js[(most[js] >= ratio * least[i] - 1e-9) & (most[i] >= ratio * least[js] - 1e-9)]
         for j in js:
             y = tiles[j]
-            d = np.zeros((len(x[1]), len(y[1])), dtype=np.uint8)
-            for w in range(words):
-                d += np.bitwise_count(x[2][:, w, None] ^ y[2][None, :, w])
-            hit = d <= radius
-            if i == j:
-                hit = np.triu(hit, 1)
-            a, b = np.nonzero(hit)
-            if not len(a):
-                continue
-            if ratio:
+            a, b, d = _hits(x[2], y[2], radius, words, i == j)
+            if ratio and len(a):
                 s, t = x[3][a], y[3][b]
                 ok = np.minimum(s, t) >= ratio * np.maximum(s, t) - 1e-9
-                a, b = a[ok], b[ok]
-            yield i, j, a, b, d[a, b]
+                ok &= (d == 0) | (np.maximum(s, t) * (1 - ratio) >= 1 - 1e-9)  # of so few shingles none may differ
+                a, b, d = a[ok], b[ok], d[ok]
+            if whole is not None and len(a):
+                d = np.bitwise_count(x[2][a] ^ y[2][b]).sum(axis=1, dtype=np.int64)
+                ok = d <= whole
+                a, b, d = a[ok], b[ok], d[ok]
+            if len(a):
+                yield i, j, a, b, d
 
 
 def _starts(tiles: list[tuple]) -> np.ndarray:
     return np.cumsum([0] + [len(x[1]) for x in tiles])
 
 
-def _cell(tiles: list[tuple], radius: int, words: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cell(tiles: list[tuple], radius: int, words: int, ratio: float, whole: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forest edges (node, node, distance) of one cell."""
     where, A, B, D = _starts(tiles), [], [], []
     node = np.concatenate([x[1] for x in tiles])
-    for i, j, a, b, dist in _met(tiles, radius, words, ratio):
+    for i, j, a, b, dist in _met(tiles, radius, words, ratio, whole):
         n = len(tiles[i][1])
         keep = forest(n + len(tiles[j][1]), a, b + (0 if i == j else n), dist)
         A.append(a[keep] + where[i])
@@ -202,7 +254,7 @@ def alike(s: np.ndarray, t: np.ndarray, threshold: float) -> bool:
     return both >= threshold * (len(s) + len(t) - both) - 1e-9
 
 
-def _true_cell(tiles: list[tuple], radius: int, words: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _true_cell(tiles: list[tuple], radius: int, words: int, ratio: float, whole: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links (node, node, distance) of sets alike by ``ratio`` that join all that any such link of the cell within ``radius`` joins.
 
     Tiles end with (components, sets). Nearest pairs are tested first, and each pair whose ends are not
@@ -212,7 +264,7 @@ def _true_cell(tiles: list[tuple], radius: int, words: int, ratio: float) -> tup
     node = np.concatenate([x[1] for x in tiles])
     root = np.unique(np.concatenate([x[8] for x in tiles]), return_inverse=True)[1]
     out = []
-    for i, j, a, b, dist in _met(tiles, radius, words, ratio):
+    for i, j, a, b, dist in _met(tiles, radius, words, ratio, whole):
         order = np.argsort(dist, kind="stable")
         a, b, dist = a[order] + where[i], b[order] + where[j], dist[order]
         while len(a):
@@ -229,7 +281,7 @@ def _true_cell(tiles: list[tuple], radius: int, words: int, ratio: float) -> tup
     return tuple(np.array(x, dtype=np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def tiled_links(nodes: DataFrame, radius: int, words: int = 1, ratio: float = 0.0) -> DataFrame:
+def tiled_links(nodes: DataFrame, radius: int, words: int = 1, ratio: float = 0.0, whole: int | None = None) -> DataFrame:
     """(a, b, d): links within ``radius`` that join all that any links within it join.
 
     nodes: (node long, fp binary, n_shingles long), one row a fingerprint. Every pair of nodes is
@@ -238,6 +290,9 @@ def tiled_links(nodes: DataFrame, radius: int, words: int = 1, ratio: float = 0.
     With ``ratio``, only pairs whose sizes have at least that ratio link, and stripes are ranges of
     size so that most pairs of stripes are never met.
 
+    The radius is that of the first ``words`` of a fingerprint. With ``whole``, all its words may differ
+    in that many bits at most; they are looked at where the first ones are within the radius.
+
     Nodes that also have ``comp`` (long) and ``grams`` (sorted hashes as bytes) link only if their sets
     have Jaccard similarity ``ratio``, and where ``comp`` doesn't join them already.
     """
@@ -259,11 +314,11 @@ def tiled_links(nodes: DataFrame, radius: int, words: int = 1, ratio: float = 0.
 
     def compare(key, batch):
         c = {n: batch.column(n).to_pylist() for n in batch.column_names}
-        tiles = [(s, np.frombuffer(n, np.int64), np.frombuffer(f, np.uint64).reshape(-1, words), np.frombuffer(z, np.int64), lo, hi, x, y) for s, n, f, z, lo, hi, x, y in zip(c["side"], c["node"], c["fp"], c["size"], c["low"], c["high"], c["least"], c["most"], strict=True)]
+        tiles = [(s, np.frombuffer(n, np.int64), np.frombuffer(f, np.uint64).reshape(len(n) // 8, -1), np.frombuffer(z, np.int64), lo, hi, x, y) for s, n, f, z, lo, hi, x, y in zip(c["side"], c["node"], c["fp"], c["size"], c["low"], c["high"], c["least"], c["most"], strict=True)]
         if sets:
             own = [np.split(np.frombuffer(g, np.uint64), np.frombuffer(e, np.int64)[:-1]) for g, e in zip(c["grams"], c["ends"], strict=True)]
             tiles = [(*x, np.frombuffer(p, np.int64), g) for x, p, g in zip(tiles, c["comp"], own, strict=True)]
-        a, b, d = (_true_cell if sets else _cell)(tiles, radius, words, ratio)
+        a, b, d = (_true_cell if sets else _cell)(tiles, radius, words, ratio, whole)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "d": pa.array(d, pa.int64())})
 
     cells, total = dealt_to_cells(stripes, [[box[p]["part"] for p in s] for s in own], low, high, near)
@@ -291,8 +346,10 @@ def near_duplicates(docs: DataFrame, radius: int = 3, k: int = 3) -> DataFrame:
 def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, radius: int = 38) -> DataFrame:
     """(doc_id, component_id): groups of texts whose sets of k-word shingles have Jaccard similarity of ``threshold`` or more.
 
-    128-bit SimHash over distinct shingles proposes: at similarity 0.8 the expected distance is 19 and
-    38 lies over four standard deviations above it. Tile pairs whose numbers of shingles can't reach
+    256-bit SimHash over distinct shingles proposes: at similarity 0.8 the expected distance of the first
+    128 bits is 19 and 38 lies over four standard deviations above it; that of all bits is 39 and 78 lies
+    over six above. Two texts that share nothing pass the first with chance 2.5e-6, which in millions of
+    texts links all of them into one group, and both with chance 9e-11. Tile pairs whose numbers of shingles can't reach
     the threshold are skipped. Links are verified exactly: first the nearest that hold each cell's groups
     together, so a group of thousands of copies costs no pairs of all its members; then, where some of
     those fail, all others between parts that are still separate, with the shingle sets in the cells.
@@ -308,17 +365,17 @@ def grouped(docs: DataFrame, threshold: float, k: int, radius: int) -> DataFrame
 
     A node is a text and not a doc_id, so rows that share an id but not a text are apart.
     """
-    prints = saved(fingerprints(docs, k, (42, 43), distinct=True), "prints")
+    prints = saved(fingerprints(docs, k, PROPOSING, distinct=True), "prints")
     some = prints.where("doc_id IS NOT NULL AND n_shingles > 0")
     nodes = some.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.max("n_shingles").alias("n_shingles"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    links = saved(tiled_links(nodes.select("node", "fp", "n_shingles"), radius, 2, threshold).groupBy("a", "b").agg(F.min("d").alias("d")), "links")
+    links = saved(tiled_links(nodes.select("node", "fp", "n_shingles"), radius, NEAR_WORDS, threshold, 2 * radius + 2).groupBy("a", "b").agg(F.min("d").alias("d")), "links")
     sets = linked_sets(docs, nodes, links, k)
     true = saved(verified(links, sets, threshold), "true")
     comp = connected_components(true)
     open_ = saved(still_open(links, comp).join(nodes.select("node", "fp", "n_shingles"), "node").join(sets, "node"), "open")
     if open_.limit(1).count():
-        comp = connected_components(true.unionByName(tiled_links(open_, radius, 2, threshold).select("a", "b")))
+        comp = connected_components(true.unionByName(tiled_links(open_, radius, NEAR_WORDS, threshold, 2 * radius + 2).select("a", "b")))
     of = saved(nodes.join(comp, "node", "left").select("text_key", "least", F.coalesce("component", "node").alias("component")), "components")
     first = of.groupBy("component").agg(F.min("least").alias("component_id"))
     by_text = of.join(first, "component").select("text_key", "component", "component_id")

@@ -93,6 +93,33 @@ def test_cells_find_all_links(words, ratio):
     assert len(a) < n and ok[a, b].all()
 
 
+def test_unrelated_texts_propose_nothing(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.bytes(8 * simhash.PROPOSING), 100) for i in range(16_000)]  # 310 links within 38 bits of 128
+    alike = bytes([rows[7][1][0] ^ 255, rows[7][1][1], rows[7][1][2] ^ 7, *rows[7][1][3:]])
+    nodes = spark.createDataFrame([*rows, (20_000, alike, 100)], "node long, fp binary, n_shingles long")
+    got = simhash.tiled_links(nodes, 38, simhash.NEAR_WORDS, 0.8, 78).collect()
+    assert [(min(r["a"], r["b"]), max(r["a"], r["b"]), r["d"]) for r in got] == [(7, 20_000, 11)]
+
+
+def test_words_of_a_fingerprint():
+    h = simhash.hashed([b"%d" % i for i in range(700)])
+    for own in (h, h[:1], h[:0]):
+        fp = np.frombuffer(simhash.majorities(own, 4), ">u8")
+        for w in fp:
+            assert w == simhash.majority(own)
+            own = simhash.remixed(own)
+
+
+def test_few_shingles_link_only_if_equal(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e g"), (3, "a b c d e f a b c d e f"), (4, "A b c  d e f"), *((10 + i, f"p{i} q{i} r{i} s{i} t{i} u{i}") for i in range(300))]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert got == {i: 1 if i == 4 else i for i, _ in rows}
+    prints = simhash.fingerprints(df, 5, simhash.PROPOSING, distinct=True).where("doc_id <> 4")
+    assert simhash.tiled_links(prints.select(prints.doc_id.alias("node"), "fp", "n_shingles"), 38, simhash.NEAR_WORDS, 0.8, 78).count() == 0
+
+
 def test_forest_is_minimal():
     rng = np.random.default_rng(2)
     for _ in range(30):
