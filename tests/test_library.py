@@ -2,13 +2,15 @@
 
 import glob
 import os
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from longweave.functions import sequence as S
 from longweave.functions import stats
-from longweave.operators import masking, rewrite
+from longweave.operators import joins, masking, rewrite
 from longweave.operators.components import connected_components
 from longweave.sources import sequences as Q
 
@@ -146,3 +148,35 @@ def test_queries_match_their_sql(spark, sf, tables, name):
     assert len(a) == len(b)
     assert [x.replace(".0", "") for x in a] == [x.replace(".0", "") for x in b]
     assert a or name not in ("gr10_contracted", "gr9_components")
+
+
+@pytest.mark.parametrize("reads,chunks,cost", [(60, 6, 600), (60, 6, 0), (60, 6, 10**9), (700, 40, 600), (300, 2000, 600)])
+def test_candidate_reads(spark, monkeypatch, reads, chunks, cost):
+    monkeypatch.setattr(joins, "PAIR_COST", cost)
+    monkeypatch.setattr(joins, "BLOCK_COLUMNS", 16)
+    rng = np.random.default_rng(reads + chunks)
+    rows = [(int(r) * 3 - 50, int(c), int(k), bool(f)) for r, c, k, f in zip(rng.integers(0, reads, reads * 9), rng.integers(0, chunks, reads * 9), rng.integers(0, 2, reads * 9), rng.integers(0, 2, reads * 9), strict=True)]
+    rows += [(-50, 1, 1, True)] * 40 + [(-47, 1, 1, True)] * 30 + [(None, 1, 1, True), (5, None, 1, True), (6, 1, None, True), (7, None, None, None)] * 3
+    nodes = spark.createDataFrame(rows, "read_id long, chunk long, cluster long, is_forward boolean")
+    count = Counter(r for r in rows if None not in r)
+    by = {}
+    for (r, *key), c in count.items():
+        by.setdefault(tuple(key), []).append((r, c))
+    want = Counter()
+    for own in by.values():
+        for a, ca in own:
+            for b, cb in own:
+                if a < b:
+                    want[a, b] += min(ca, cb)
+    for least in (1, 2, 5):
+        got = [tuple(r) for r in joins.candidate_reads(nodes, least).collect()]
+        assert sorted(got) == sorted((*p, n) for p, n in want.items() if n >= least)
+    assert joins.candidate_reads(nodes.where("false")).count() == 0
+
+
+def test_candidate_reads_shuffle_no_pairs(spark):
+    nodes = spark.range(0, 4000).selectExpr("id % 400 AS read_id", "id % 10 AS chunk", "0L AS cluster", "true AS is_forward").unionByName(spark.range(0, 400).selectExpr("id AS read_id", "99L AS chunk", "0L AS cluster", "true AS is_forward"))
+    got = joins.candidate_reads(nodes, 1)
+    assert got.count() == 400 * 399 // 2
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
