@@ -41,6 +41,8 @@ LONGEST = 24
 THRESHOLD = 0.3
 #: Bytes that the strings whose score a worker keeps take in each of two generations, objects included.
 CACHE = 40 << 20
+#: Words whose margins are worked out at once.
+MET = 4000
 
 _SYMBOLS, _FEATURES = 64, 1 << 16
 #: Digits and signs that stand for letters: fixed values.
@@ -81,8 +83,15 @@ FRAGMENT = 3
 
 def fragments(words: list[str]) -> set[str]:
     """Two or three short words beside one another as one string; a tab, which no word has, is the gap."""
-    two = {f"{a}\t{b}" for a, b in zip(words, words[1:], strict=False) if len(a) <= FRAGMENT and len(b) <= FRAGMENT and len(a) + len(b) > FRAGMENT}
-    return two | {f"{a}\t{b}\t{c}" for a, b, c in zip(words, words[1:], words[2:], strict=False) if len(b) <= FRAGMENT and len(a) <= FRAGMENT and len(c) <= FRAGMENT and len(a) + len(b) + len(c) > FRAGMENT}
+    n = list(map(len, words))
+    out, last = set(), len(words) - 2
+    for i in [i for i, (x, y) in enumerate(zip(n, n[1:], strict=False)) if x <= FRAGMENT and y <= FRAGMENT]:
+        two = n[i] + n[i + 1]
+        if two > FRAGMENT:
+            out.add(f"{words[i]}\t{words[i + 1]}")
+        if i < last and n[i + 2] <= FRAGMENT and two + n[i + 2] > FRAGMENT:
+            out.add(f"{words[i]}\t{words[i + 1]}\t{words[i + 2]}")
+    return out
 
 
 def strings(sentence: str) -> list[str]:
@@ -191,8 +200,12 @@ class Scorer:
         """The margins of distinct words; the cache may keep only some of them."""
         units, owner = [], []
         for k, w in enumerate(words):
-            u = _EDGE.sub("", w)
-            for v in {u} if "\t" in u else {u, _SIGNS.sub("", u)}:  # with and without signs put in between
+            if w.replace("\t", "").isalnum():  # no signs to leave out
+                own = (w,)
+            else:
+                u = _EDGE.sub("", w)
+                own = {u} if "\t" in u else {u, _SIGNS.sub("", u)}  # with and without signs put in between
+            for v in own:
                 for x in windows(v) if len(v) > 2 else ():
                     units.append(x)
                     owner.append(k)
@@ -209,24 +222,44 @@ class Scorer:
         return [(s, self.worst([s])[0]) for s in _SENTENCE.split(text) if s and s.strip()]
 
     def worst(self, texts: list[str | None]) -> list[float]:
-        out = []
+        """The worst margin of each text; words that aren't kept are met together for many texts."""
+        out, wait, new = [], [], {}
+        get = self.kept.get
         for text in texts:
             low = (text or "").lower()
             own = low.split()
             words = set(own) | fragments(own)
             words.update("".join(m[0].split()) for m in _SINGLES.finditer(low))
-            get, best, new = self.kept.get, -3.0, []
+            young, best, missing = self.kept.young, -3.0, []
             for w in words:
-                m = get(w)
+                m = young.get(w)
+                if m is None:
+                    m = get(w)
+                    young = self.kept.young
                 if m is None:
-                    new.append(w)
+                    missing.append(w)
                 elif m > best:
                     best = m
-            for i in range(0, len(new), 20_000):
-                best = max(best, *self._learn(new[i : i + 20_000]))
             out.append(best)
+            if missing:
+                wait.append((len(out) - 1, missing))
+                new.update(dict.fromkeys(missing))
+                if len(new) >= MET:
+                    self._settle(out, wait, new)
+        self._settle(out, wait, new)
         return out
 
+    def _settle(self, out: list[float], wait: list[tuple[int, list[str]]], new: dict[str, float | None]) -> None:
+        """Learn the ``new`` words and raise the margins of the texts that wait for them."""
+        words = list(new)
+        for i in range(0, len(words), MET):
+            own = words[i : i + MET]
+            new.update(zip(own, self._learn(own), strict=True))
+        for at, missing in wait:
+            out[at] = max(out[at], *map(new.__getitem__, missing))
+        wait.clear()
+        new.clear()
+
 
 def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic) of labelled documents that aren't held out, about the documented numbers."""

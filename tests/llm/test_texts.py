@@ -306,3 +306,23 @@ def test_language_against_plain_bayes(spark):
                     h ^= h >> 15
                 want = want + logp[h & (language.BUCKETS - 1)]
         assert np.allclose(row, want, rtol=1e-4)
+
+
+def test_new_words_of_many_texts_are_met_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.standard_normal(toxicity._FEATURES).astype(np.float32), -1.0)
+    texts = [f"word{i} un-like{i}. ab cd ef{i % 7}\n_x_ s t u {i}" for i in range(300)] + ["", None, "word3", "a b c"]
+    alone = [max([-3.0, *toxicity.Scorer(model)._learn(sorted({*(t or "").split(), *toxicity.fragments((t or "").split()), *("".join(m[0].split()) for m in toxicity._SINGLES.finditer(t or ""))}))]) for t in texts]
+    calls, plain = [], toxicity.Model.margins
+    monkeypatch.setattr(toxicity.Model, "margins", lambda self, units: calls.append(len(units)) or plain(self, units))
+    scorer = toxicity.Scorer(model)
+    assert np.allclose(scorer.worst(texts), alone, atol=1e-5) and len(calls) == 1
+    monkeypatch.setattr(toxicity, "MET", 50)
+    assert np.allclose(toxicity.Scorer(model).worst(texts), alone, atol=1e-5) and len(calls) < 60
+
+
+def test_fragments():
+    words = "abc de f gh i jkl longer a b c d xyz".split()
+    want = {f"{a}\t{b}" for a, b in zip(words, words[1:], strict=False) if len(a) <= 3 and len(b) <= 3 and len(a) + len(b) > 3}
+    want |= {f"{a}\t{b}\t{c}" for a, b, c in zip(words, words[1:], words[2:], strict=False) if max(len(a), len(b), len(c)) <= 3 and len(a) + len(b) + len(c) > 3}
+    assert toxicity.fragments(words) == want and not toxicity.fragments([]) and not toxicity.fragments(["ab"]) and toxicity.fragments(["ab", "cd"]) == {"ab\tcd"}
